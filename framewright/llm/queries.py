@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_jobs, line_dedup, packing, simhash, token_files
-from .common import _written, shared_dir, table
+from . import bpe_jobs, langid, line_dedup, packing, quality, simhash, token_files
+from .common import _written, held_out, in_training, shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +24,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def quality_network(spark: SparkSession, sf_dir: str) -> quality.Network:
+    """Fitted on labelled rows whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    labels = labels.where(in_training(labels["doc_id"], 5, 0) & labels["quality"].isNotNull())
+    return quality.fit(docs.join(labels, "doc_id"), "quality")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality_network(spark, sf_dir), "score")
+    return out.select("doc_id", held_out(out["doc_id"], 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,12 +60,26 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def language_dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, bytes]:
+    """Of documents whose crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.fit(docs.where(in_training(docs["doc_id"], 4, 2)), "lang")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.identify(docs, language_dictionaries(spark, sf_dir))
+    return out.select("doc_id", held_out(out["doc_id"], 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), "rejected")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_token_files": op9_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {

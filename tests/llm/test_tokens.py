@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from framewright.llm import packing, queries, token_files
+from framewright.llm import packing, queries, token_files, tokens
 
 from . import docs as D
 
@@ -64,6 +64,14 @@ def test_pack_query(spark, sf_dir, tokenizer):
     assert padded <= 2048
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=50), st.text("aÉeé\u0301İΣ ’'tsSLl<|>.,!1²½ªº \n\x1c\xa0", max_size=80), st.sampled_from(["<|STARTOFTEXT|> a", "<|endoftext|>b C", "don't I'LL we'Ve", "x\u0301 e\u0301"])))
+def test_parts_have_the_texts_ids(tokenizer, text):
+    text = text.encode("utf-8", "ignore").decode()
+    words = tokens.word_ids(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 9000), max_size=60))
 def test_pack_block(lengths):
