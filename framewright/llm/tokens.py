@@ -1,8 +1,9 @@
 """Ids of the word-end BPE tokenizer, for packing and for token files.
 
-The tokenizer drops white space before it merges, so a text's ids are those of
-its parts between ASCII blanks, in order. Parts repeat; a worker keeps the ids
-of those that it has met and asks the library for new ones only.
+The tokenizer drops white space, lower-cases, splits words from signs and merges
+each by itself, so a text's ids are those of its parts between ASCII blanks, in
+order. Parts repeat; a worker keeps the ids of those that it has met and asks the
+library for new ones only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,46 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker keeps; beyond it, the store starts anew. Results don't depend on it.
-STORE = 400_000
+STORE = 1_000_000
+#: The tokenizer file's own pattern of words, digits and signs.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Store(dict):
+    """part -> its ids as little-endian unsigned 32-bit bytes; new parts are encoded when asked for."""
+
+    def __init__(self, tokenizer):
+        import regex
+
+        super().__init__()
+        self.tokenizer, self.split = tokenizer, regex.compile(PIECES).findall
+        self.pieces: dict[str, bytes] = {}
+        self.merge = tokenizer.model.tokenize
+        # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        """Ids of a piece of Latin-1 characters, which normalisation only lower-cases: the library's merges alone."""
+        letters = piece.lower() if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.lower().encode()))
+        return np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        text, found = part.decode(), []
+        if b"<|" in part or max(text) >= "\u0100" or min(text) < "!":  # special tokens, or characters that normalisation may change
+            found.append(self._encode(text))
+        else:
+            for piece in self.split(text):
+                ids = self.pieces.get(piece)
+                if ids is None:
+                    ids = self.pieces[piece] = self._merge(piece)
+                found.append(ids)
+        ids = self[part] = b"".join(found)
+        return ids
 
 
 class WordIds:
@@ -24,22 +64,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Store(Tokenizer.from_file(path))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        if len(known) > STORE:
-            known.clear()
-        parts = [(t or "").encode().split() for t in texts]
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(x for x in p if x not in known)
-        if new:
-            fresh = list(new)
-            for x, e in zip(fresh, self.tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False)):
-                known[x] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        known, out = self.known, []
+        for t in texts:
+            if len(known) > STORE:
+                known.clear()
+                known.pieces.clear()
+            data = (t or "").encode()
+            # Special tokens are matched before lower-casing; without their signs, case makes no difference.
+            parts = data.split() if b"<|" in data else data.lower().split()
+            out.append(b"".join(map(known.__getitem__, parts)))
+        return out
 
 
 _loaded: dict[str, WordIds] = {}
