@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_jobs, langid, line_dedup, packing, quality, simhash, token_files
+from . import bpe_jobs, langid, line_dedup, lm, packing, quality, simhash, token_files
 from .common import _written, held_out, in_training, shared_dir, table
 
 
@@ -44,6 +44,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_jobs.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, in_training(docs["doc_id"], 7, 2))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=1)
 
@@ -76,6 +82,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op9_token_files": op9_token_files,
