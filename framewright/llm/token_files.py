@@ -27,6 +27,9 @@ BLOCK_IDS = 65_536
 FILE_SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, words binary"
 
 
+_NEED = np.array([w for _, w in WIDTHS], np.int8)[np.searchsorted(np.array([1 << w for _, w in WIDTHS]), np.arange(1 << 16), side="right")]
+
+
 def encode(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words (uint64) of unsigned ids below 2**60.
 
@@ -37,15 +40,19 @@ def encode(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    bits = np.ones(n, np.int8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30):
-        bits[ids >> np.uint64(b) != 0] = 127 if b == 30 else (2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)[(1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20).index(b)]
-    best = np.full(n, ESCAPE, np.int8)
-    for sel in range(len(WIDTHS), 0, -1):  # from few ids to many, later ones win
-        count, width = WIDTHS[sel - 1]
-        bad = np.concatenate([[0], np.cumsum(bits > width)])
-        end = np.minimum(np.arange(n) + count, n)
-        best[bad[end] == bad[:-1]] = sel
+    # The width that each id needs, then the widest need of the next count ids at every place, by doubling.
+    widths = np.array([w for _, w in WIDTHS], np.int8)
+    limits = np.array([1 << w for _, w in WIDTHS], np.uint64)
+    need = np.append(widths, np.int8(127))[np.searchsorted(limits, ids, side="right")] if ids.max() >= len(_NEED) else _NEED.take(ids)
+    most = np.concatenate([need, np.zeros(60, np.int8)])
+    fitting, span = np.zeros(n, np.int8), 1
+    for count, width in reversed(WIDTHS):  # what fits a selector fits all that hold fewer, wider ids
+        while span < count:
+            reach = min(span, count - span)
+            most = np.maximum(most[: len(most) - reach], most[reach:])
+            span += reach
+        fitting += most[:n] <= width
+    best = np.array([ESCAPE, *range(len(WIDTHS), 0, -1)], np.int8).take(fitting)
     step = np.array([0, *(c for c, _ in WIDTHS), 0, 1], np.int64)[best].tolist()
     starts, at = [], 0
     while at < n:
@@ -55,16 +62,18 @@ def encode(ids: np.ndarray) -> np.ndarray:
     sels = best[starts].astype(np.int64)
     place = np.cumsum(np.concatenate([[0], np.where(sels == ESCAPE, 2, 1)]))
     words = np.zeros(place[-1], np.uint64)
-    words[place[:-1]] = sels.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for sel in np.unique(sels):
         mine = sels == sel
         if sel == ESCAPE:
+            words[place[:-1][mine]] = np.uint64(ESCAPE << 60)
             words[place[:-1][mine] + 1] = ids[starts[mine]]
             continue
         count, width = WIDTHS[sel - 1]
-        shifted = padded[starts[mine][:, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(width))
-        words[place[:-1][mine]] |= np.bitwise_or.reduce(shifted, axis=1)
+        begin, filled = starts[mine], np.full(int(mine.sum()), sel << 60, np.uint64)
+        for j in range(count):
+            filled |= padded.take(begin + j) << np.uint64(j * width)
+        words[place[:-1][mine]] = filled
     return words
 
 
@@ -89,7 +98,9 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
             continue
         count, width = WIDTHS[sel - 1]
         mask = np.uint64((1 << width) - 1)
-        out[starts[mine][:, None] + np.arange(count)] = words[mine][:, None] >> (np.arange(count, dtype=np.uint64) * np.uint64(width)) & mask
+        begin, packed = starts[mine], words[mine]
+        for j in range(count):
+            out[begin + j] = packed >> np.uint64(j * width) & mask
     return out[:n]
 
 
