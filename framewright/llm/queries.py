@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_jobs, langid, line_dedup, lm, packing, quality, simhash, token_files
+from . import ann, bpe_jobs, langid, line_dedup, lm, packing, quality, simhash, token_files
 from .common import _written, held_out, in_training, shared_dir, table
 
 
@@ -59,6 +59,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of(out["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     _written.append((spark, path))
@@ -85,6 +89,7 @@ QUERIES = {
     "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_ann": op8_ann,
     "op9_token_files": op9_token_files,
     "op10_language_id": op10_language_id,
 }
