@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe_jobs, langid, line_dedup, lm, packing, quality, simhash, token_files
+from . import ann, bpe_jobs, langid, line_dedup, lm, packing, quality, simhash, token_files, winnow
 from .common import _written, held_out, in_training, shared_dir, table
 
 
@@ -24,6 +24,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow.with_neighbours(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", winnow.as_text(out["prints"]).alias("fingerprint"), winnow.as_text(out["edited_prints"]).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def quality_network(spark: SparkSession, sf_dir: str) -> quality.Network:
     """Fitted on labelled rows whose crc32(doc_id) mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,6 +89,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op3_quality": op3_quality,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_lm_score": op5_lm_score,

