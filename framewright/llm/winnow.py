@@ -37,7 +37,8 @@ def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str
     # The high bits of a hash, then the place from the right: the least of a window is its least hash, rightmost first.
     top = PLACES - 1
     last = F.greatest(F.octet_length("_bytes") - gram, F.lit(0))
-    ranked = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring("_bytes", i + 1, F.lit(gram))).bitwiseAND(F.lit(-PLACES)).bitwiseOR((F.lit(top) - i).cast("long")))
+    # As a lambda's variable, the bytes are not copied for each place.
+    ranked = F.get(F.transform(F.array("_bytes"), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(gram))).bitwiseAND(F.lit(-PLACES)).bitwiseOR((F.lit(top) - i).cast("long")))), F.lit(0))
     hashed = pieces.select(*keys, *carried, "_at.text", "_at.start", ranked.alias("_h"))
     each = hashed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_h") - window, F.lit(0)))).alias("i"))
     inner = F.array_min(F.slice("_h", F.col("i") + 1, window - 1))
