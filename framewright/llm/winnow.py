@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import text_of
 
 GRAM, WINDOW = 16, 32
-#: Windows of one piece; low bits of a hash make room for the place in the piece.
-PIECE, PLACES = 4096, 1 << 13
+#: Windows of one piece, and windows looked at together (fewer than WINDOW).
+PIECE, STEP = 4096, 4
 LEAST = -(1 << 63)
 
 
@@ -29,29 +29,40 @@ def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str
     data = F.array(*(F.coalesce(F.col(t), F.lit("")).cast("binary") for t in texts))
     windows = lambda size: F.greatest(size - (gram + window - 2), F.lit(1))
     places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(texts) - 1)), lambda t: F.transform(
-        F.sequence(F.lit(0), windows(F.octet_length(F.get("_data", t))) - 1, F.lit(PIECE)), lambda s: F.struct(t.alias("text"), s.alias("start"), (t + s == 0).alias("head")))))
+        F.sequence(F.lit(0), windows(F.octet_length(F.get("_data", t))) - 1, F.lit(PIECE)), lambda s: F.struct(t.alias("text"), s.alias("start")))))
+    head = (F.col("_at.text") == 0) & (F.col("_at.start") == 0)
     pieces = (
-        rows.select(*keys, *carried, data.alias("_data")).select("*", F.explode(places).alias("_at"))
-        .select(*keys, "_at", *(F.when(F.col("_at.head"), F.col(c)).alias(c) for c in carried), F.substring(F.get("_data", F.col("_at.text")), F.col("_at.start") + 1, F.lit(PIECE + gram + window - 2)).alias("_bytes"))
+        rows.select(*keys, F.struct(F.lit(1).alias("_"), *carried).alias("_c"), data.alias("_data")).select("*", F.explode(places).alias("_at"))
+        .select(*keys, F.when(head, F.col("_c")).alias("_c"), "_at", F.substring(F.get("_data", F.col("_at.text")), F.col("_at.start") + 1, F.lit(PIECE + gram + window - 2)).alias("_bytes"))
     )
-    # The high bits of a hash, then the place from the right: the least of a window is its least hash, rightmost first.
-    top = PLACES - 1
-    last = F.greatest(F.octet_length("_bytes") - gram, F.lit(0))
     # As a lambda's variable, the bytes are not copied for each place.
-    ranked = F.get(F.transform(F.array("_bytes"), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(gram))).bitwiseAND(F.lit(-PLACES)).bitwiseOR((F.lit(top) - i).cast("long")))), F.lit(0))
-    hashed = pieces.select(*keys, *carried, "_at.text", "_at.start", ranked.alias("_h"))
-    each = hashed.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_h") - window, F.lit(0)))).alias("i"))
-    inner = F.array_min(F.slice("_h", F.col("i") + 1, window - 1))
-    before, after = F.coalesce(F.get("_h", F.col("i") - 1), F.lit(LEAST)), F.get("_h", F.col("i") + window - 1)
-    # A window chooses anew if what leaves it was the least, or what enters it is.
-    new = each.where(F.least(before, after) < inner)
-    least = F.least(inner, after)
-    prints = new.select(
-        *keys, "text", *(F.when(F.col("i") == 0, F.col(c)).alias(c) for c in carried),
-        F.struct((F.col("start") + top - least.bitwiseAND(F.lit(top))).alias("pos"), F.shiftright(least, PLACES.bit_length() - 1).alias("hash")).alias("p"),
-    )
-    lists = [F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("text") == n, F.col("p"))))).alias(f"{t}_prints") for n, t in enumerate(texts)]
-    return prints.groupBy(*keys).agg(*lists, *(F.max(c).alias(c) for c in carried))
+    last = F.greatest(F.octet_length("_bytes") - gram, F.lit(0))
+    hashes = F.get(F.transform(F.array("_bytes"), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(gram))))), F.lit(0))
+    hashed = pieces.select(*keys, "_c", "_at", hashes.alias("_h"))
+    # STEP windows at a time. Where the least hash that all of them and the window before hold is below all others,
+    # they choose what that one chose; only the other windows are looked at one by one. Plain least() over places
+    # stays in generated code.
+    i, ends = F.col("i"), F.greatest(F.size("_h") - window, F.lit(0))
+    at = lambda j: F.get("_h", i + j)
+    left = lambda j: F.coalesce(at(j), F.lit(LEAST))  # noqa: E731  none: it counts as chosen before
+    shared = F.coalesce(F.least(*map(at, range(STEP - 1, window - 1))), F.lit(-LEAST - 1))
+    edges = F.least(left(-1), *map(at, range(STEP - 1)), *map(at, range(window - 1, window + STEP - 1)))
+    some = hashed.select("*", F.explode(F.sequence(F.lit(0), ends, F.lit(STEP))).alias("i")).where(shared >= edges)
+    found = []
+    for j in range(STEP):
+        # The rightmost of equal ones is chosen: what leaves must be below the rest, what enters need not be above.
+        inner = F.least("_s", *map(at, range(j, STEP - 1)), *map(at, range(window - 1, window + j - 1)))
+        enters = at(j + window - 1)
+        found.append(F.when((inner >= F.least(left(j - 1), enters)) & (i + j <= ends), F.struct((i + j).alias("at"), F.least(inner, enters).alias("hash"))))
+    some = some.select("*", shared.alias("_s")).select(*keys, F.when(i == 0, F.col("_c")).alias("_c"), "_at", "_h", F.explode(F.array(*found)).alias("w")).where("w IS NOT NULL")
+    prints = some.select(*keys, "_c", "_at", "w", F.slice("_h", F.col("w.at") + 1, window).alias("_w"))
+    pos = F.col("_at.start") + F.col("w.at") + F.size("_w") - F.array_position(F.reverse("_w"), F.col("w.hash"))
+    prints = prints.select(*keys, "_c", F.col("_at.text").alias("text"), F.struct(pos.alias("pos"), F.col("w.hash").alias("hash")).alias("p"))
+    # Pieces overlap by a window, so the same print may come twice; by position, equal ones stand together.
+    once = lambda a: F.filter(a, lambda p, n: (n == 0) | (p["pos"] != F.get(a, n - 1)["pos"]))
+    lists = [F.get(F.transform(F.array(F.sort_array(F.collect_list(F.when(F.col("text") == n, F.col("p"))))), once), F.lit(0)).alias(f"{t}_prints") for n, t in enumerate(texts)]
+    out = prints.groupBy(*keys).agg(*lists, F.first("_c", ignorenulls=True).alias("_c"))
+    return out.select(*keys, *(f"{t}_prints" for t in texts), *(F.col(f"_c.{c}").alias(c) for c in carried))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(prints: Column) -> Column:
     """hash:position in hexadecimal, by position."""
-    return F.array_join(F.transform(prints, lambda p: F.concat_ws(":", F.hex(p["hash"].bitwiseAND(F.lit((1 << 51) - 1))), F.hex(p["pos"]))), " ")
+    return F.array_join(F.transform(prints, lambda p: F.concat_ws(":", F.hex(p["hash"]), F.hex(p["pos"]))), " ")
 
 
 def _ranges(docs: DataFrame, key: Column) -> tuple[list[int], int]:

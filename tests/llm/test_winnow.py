@@ -24,7 +24,7 @@ def brute(hashes, window=W):
 def grams(spark, text, gram=G):
     data = text.encode()
     runs = [bytearray(data[i : i + gram]) for i in range(max(1, len(data) - gram + 1))]
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, b binary").select("i", F.shiftright(F.xxhash64("b"), winnow.PLACES.bit_length() - 1).alias("h")).collect()
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, b binary").select("i", F.xxhash64("b").alias("h")).collect()
     return [r.h for r in sorted(rows)]
 
 
