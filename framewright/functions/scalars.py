@@ -105,7 +105,8 @@ def codec_string(profile_hex: Column) -> Column:
 
 
 def rtp_clock(dts_ms: Column, rate: int) -> Column:
-    return F.pmod(F.floor(dts_ms * rate / 1000).cast("bigint"), F.lit(1 << 32))
+    ticks = dts_ms.cast("bigint") * rate
+    return F.pmod((ticks - F.pmod(ticks, F.lit(1000))).cast("decimal(20,0)") / 1000, F.lit(1 << 32)).cast("bigint")
 
 
 def seq_distance(a: Column, b: Column) -> Column:

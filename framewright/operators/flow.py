@@ -103,7 +103,7 @@ def fragments(frames: DataFrame, mtu: int = 1200) -> DataFrame:
 def stamps(frames: DataFrame, clock: int = 90_000) -> DataFrame:
     """RTP sequence numbers (16 bits) and timestamps (32 bits) of video frames."""
     n = F.row_number().over(by_arrival()) - 1
-    return media_frames(frames).where("media = 'video'").select("stream_key", "seq", F.pmod(n, F.lit(65536)).cast("bigint").alias("rtp_seq"), F.pmod(F.floor(F.col("dts_ms") * clock / 1000).cast("bigint"), F.lit(1 << 32)).alias("rtp_ts"))
+    return media_frames(frames).where("media = 'video'").select("stream_key", "seq", F.pmod(n, F.lit(65536)).cast("bigint").alias("rtp_seq"), F.pmod(F.expr(f"dts_ms * {clock} div 1000"), F.lit(1 << 32)).alias("rtp_ts"))
 
 
 class Ewma(Machine):

@@ -142,7 +142,7 @@ PARTS = MEDIA + f""", fk AS (
 )"""
 on_frames("llhls_parts", lambda f: segments.llhls_parts(f, PART, SEGMENT), PARTS + " SELECT * FROM parts")
 on_frames("llhls_playlist", lambda f: segments.llhls_playlist(f, PART, SEGMENT), PARTS + f""", sg AS (
-    SELECT stream_key, segment, count(*) AS parts, sum(duration_ms) AS d FROM parts GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY stream_key ORDER BY segment DESC) <= 4
+    SELECT stream_key, segment, count(*) AS parts, sum(duration_ms) AS d FROM parts GROUP BY stream_key, segment QUALIFY row_number() OVER (PARTITION BY stream_key ORDER BY segment DESC) <= 4
 ) SELECT stream_key, min(segment) AS media_sequence, sum(parts)::BIGINT AS parts, ceil(max(d) / 1000.0)::BIGINT AS target_duration, {3 * PART}::BIGINT AS hold_back_ms, ceil(max(d) / 1000.0)::BIGINT * 6 AS skip_until_s FROM sg GROUP BY stream_key""")
 on_frames("record_rotation", lambda f: segments.recording_files(f, 5 * DAY, 20_000), NUMBERED.format("frames") + f""", RECURSIVE p AS (
     SELECT stream_key, rn, dts_ms, size, 0::BIGINT AS file, dts_ms AS start_ms, size AS held, false OR size >= 20000 AS shut FROM n WHERE rn = 1
