@@ -120,3 +120,42 @@ def test_looped(spark):
     f = frames(spark).where("stream_key = 2")
     assert [r.dts_ms for r in flv.looped(f, 3).orderBy("seq").collect()] == [5, 7, 45, 47, 85, 87]
     assert flv.looped(f, 3, until_ms=45).count() == 3
+
+
+def test_ps_round_trip(spark):
+    from framewright.sources import mpegps
+
+    f = frames(spark)
+    got = mpegps.frames(mpegps.mux(f, most=100)).collect()
+    want = f.where("frame_type <> 'seqhdr'").withColumn("frame_type", F.when(F.col("media") == "audio", "key").otherwise(F.col("frame_type"))).collect()
+    assert shown(got) == shown(want)
+    assert mpegps.frames(spark.createDataFrame([("x", bytearray(b"\1" * 40)), ("y", None)], "path string, content binary")).collect() == []
+
+
+def test_fmp4_round_trip(spark):
+    from framewright.sources import fmp4
+
+    f = frames(spark).withColumn("segment", F.when(F.col("seq") < 5, 0).otherwise(1))
+    got = fmp4.frames(fmp4.mux(f)).collect()
+    want = f.where("frame_type <> 'seqhdr'").collect()
+    key = lambda r: (r[0] if isinstance(r[0], str) else str(r[0]), r.media, r.frame_type, r.dts_ms, r.pts_ms, bytes(r.payload))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    t = fmp4.tracks(fmp4.boxes(fmp4.mux(f))).where("path = '1'").orderBy("track_id").collect()
+    assert [(r.track_id, r.media, r.timescale) for r in t] == [(1, "video", 90000), (2, "audio", 48000)]
+    assert fmp4.frames(spark.createDataFrame([("x", bytearray(b"\0\0\0\1abcd"))], "path string, content binary")).collect() == []
+
+
+def test_rtmp_interleaved_amf0(spark):
+    from framewright.sources import walk
+
+    first = bytes([0x03]) + b"\0\0\x0a" + b"\0\0\x05" + b"\x14" + (7).to_bytes(4, "little") + b"hello"
+    size = bytes([0x02]) + b"\0\0\0" + b"\0\0\4" + b"\1" + b"\0" * 4 + (300).to_bytes(4, "big")
+    long = bytes([0x04]) + b"\0\0\x14" + (200).to_bytes(3, "big") + b"\x09" + b"\1\0\0\0" + b"v" * 200
+    delta = bytes([0x44]) + b"\0\0\x05" + (2).to_bytes(3, "big") + b"\x09" + b"xy"
+    again = bytes([0xC4]) + b"zz"
+    rows = walk.walked(spark.createDataFrame([("c", bytearray(first + size + long + delta + again))], "path string, content binary"), walk.rtmp_messages, "cs bigint, kind bigint, stream bigint, time bigint, body binary").orderBy("idx").collect()
+    assert [(r.cs, r.kind, r.stream, r.time, len(r.body)) for r in rows] == [(3, 20, 7, 10, 5), (2, 1, 0, 0, 4), (4, 9, 1, 20, 200), (4, 9, 1, 25, 2), (4, 9, 1, 25, 2)]
+    assert list(walk.rtmp_messages(b"\x04\0\0\0" + (300).to_bytes(3, "big") + b"\x09\1\0\0\0" + b"v" * 128 + b"\xc4" + b"v" * 128 + b"\xc4" + b"v" * 44))[0][4] == b"v" * 300
+    assert list(walk.interleaved(b"$\0\0\2ab$\1\0\1c$\0\0\x09x")) == [(0, b"ab"), (1, b"c")]
+    values = ["connect", 1.0, {"app": "live", "n": None, "ok": True}, None, [1.0, "a"]]
+    assert walk.amf0(walk.to_amf0(*values)) == values and walk.amf0(b"\2\0\1a\x63") == ["a"]
