@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import scalars as S
 from .operators import catalog, flow, quality, segments
 from .plans.frames import FRAMES_SQL, frames, table
+from .sources import flv, fmp4, mpegps, mpegts, playlists, rtp
 
 DAY, HOUR = 86_400_000, 3_600_000
 PART, SEGMENT = 2 * HOUR, 60 * HOUR
@@ -312,3 +313,59 @@ def _auth_cases(spark, sf_dir):
     from .functions.auth import cases
 
     return cases(spark).select("protocol", "action", "name", F.col("allowed").alias("expect_allow"))
+
+
+# Byte formats: frames with made-up payloads are written and read again; times are the stream's own, a hundredth as long.
+def _with_payload(f: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    base = F.min("dts_ms").over(Window.partitionBy("stream_key"))
+    dts = F.expr("(dts_ms - _b) div 100")
+    cts = F.expr("(pts_ms - dts_ms) div 10000")
+    fill = F.pmod("size", F.lit(400)).cast("int") + 1
+    nal = F.when(F.col("frame_type") == "key", F.unhex(F.lit("0000000165"))).otherwise(F.unhex(F.lit("0000000141")))
+    payload = F.when(F.col("media") == "video", F.concat(nal, F.repeat(F.lit("v"), fill).cast("binary"))).otherwise(F.repeat(F.lit("a"), fill).cast("binary"))
+    rows = f.where("frame_type <> 'seqhdr'").withColumn("_b", base).withColumn("payload", payload)
+    return rows.select("stream_key", "seq", "media", "codec", "frame_type", dts.alias("dts_ms"), F.when(F.col("media") == "video", dts + cts).otherwise(dts).alias("pts_ms"), F.octet_length("payload").cast("bigint").alias("size"), "payload")
+
+
+ROUND = MEDIA + """, r AS (SELECT *, (dts_ms - min(dts_ms) OVER (PARTITION BY stream_key)) // 100 AS d, (pts_ms - dts_ms) // 10000 AS c FROM m
+), q AS (SELECT stream_key::VARCHAR AS path, seq, media, frame_type, d AS dts_ms, CASE WHEN media = 'video' THEN d + c ELSE d END AS pts_ms, size % 400 + 1 + CASE WHEN media = 'video' THEN 5 ELSE 0 END AS size FROM r)"""
+SHOWN = ("path", "media", "frame_type", "dts_ms", "pts_ms", "size")
+
+
+def _round_trip(name: str, there_and_back, sql: str = " SELECT path, media, frame_type, dts_ms, pts_ms, size FROM q") -> None:
+    on_frames(name, lambda f: there_and_back(_with_payload(f)).select(*SHOWN), ROUND + sql)
+
+
+_round_trip("flv_round_trip", lambda f: flv.frames(flv.mux(f)))
+_round_trip("ts_round_trip", lambda f: mpegts.frames(mpegts.joined(mpegts.mux(f))), """, k AS (SELECT path, min(seq) AS s FROM q WHERE media = 'video' AND frame_type = 'key' GROUP BY path) SELECT path, media, frame_type, dts_ms, pts_ms, size FROM q WHERE path IN (SELECT path FROM k)""")
+_round_trip("ps_round_trip", lambda f: mpegps.frames(mpegps.mux(f)), """, k AS (SELECT DISTINCT path FROM q WHERE media = 'video' AND frame_type = 'key') SELECT path, media, CASE WHEN media = 'audio' THEN 'key' ELSE frame_type END AS frame_type, dts_ms, pts_ms, size FROM q WHERE path IN (SELECT path FROM k)""")
+_round_trip("fmp4_round_trip", lambda f: fmp4.frames(fmp4.mux(f.withColumn("segment", F.expr("dts_ms div 1000000")))).withColumn("frame_type", F.when(F.col("media") == "audio", "inter").otherwise(F.col("frame_type"))))
+on_frames("rtp_round_trip", lambda f: rtp.one_byte_descriptor(rtp.headers(rtp.packetize(_with_payload(f).where("media = 'video'"), 120)), "VP9").select("stream_key", "rtp_ts", F.octet_length("payload").cast("bigint").alias("size")), ROUND + " SELECT path::BIGINT AS stream_key, (dts_ms * 90) % 4294967296 AS rtp_ts, size FROM q WHERE media = 'video'")
+on_frames("looped_source", lambda f: flv.looped(f, 2, 33).groupBy("stream_key").agg(F.count("*").alias("frames"), F.max("dts_ms").alias("last_ms"), F.max("seq").alias("last_seq")), " SELECT stream_key, 2 * count(*) AS frames, 2 * max(dts_ms) + 33 AS last_ms, 2 * max(seq) + 1 AS last_seq FROM frames GROUP BY stream_key")
+
+
+@query("llhls_text")
+def _llhls_text(spark, sf_dir):
+    return playlists.llhls(segments.llhls_parts(frames(spark, sf_dir), PART, SEGMENT), PART)
+
+
+@query("mpd_text")
+def _mpd_text(spark, sf_dir):
+    return playlists.mpd(segments.dash_timeline(frames(spark, sf_dir), keep=5))
+
+
+@query("quality_json", None)
+def _quality_json(spark, sf_dir):
+    return playlists.report_json(quality.report(frames(spark, sf_dir)))
+
+
+@query("webhook_payloads", "SELECT event_type AS event, count(*) AS sent, count(DISTINCT user_id) AS streams FROM events GROUP BY 1")
+def _webhooks(spark, sf_dir):
+    from .streaming.stateful import webhook_payload
+
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("stream_key"), F.lit("rtmp").alias("protocol"), F.lit("").alias("remote_addr"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("timestamp"), F.col("props").alias("extra"))
+    sent = webhook_payload(rows).select(F.from_json("value", "event string, stream_key string").alias("v"))
+    return sent.groupBy("v.event").agg(F.count("*").alias("sent"), F.count_distinct("v.stream_key").alias("streams"))

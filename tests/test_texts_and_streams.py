@@ -97,3 +97,21 @@ def test_windowed_stream(spark, sf_dir, tmp_path):
     rows = streamed(spark, sf_dir, tmp_path, lambda s: stateful.windowed_rates(s, "1 day", "2 days"), "rates").collect()
     want = {(r.stream_key, r.bucket): (r.bytes, r.frames) for r in flow.rate_windows(frames(spark, sf_dir), 86_400_000).collect()}
     assert rows and all(want[r.stream_key, int(r.start.timestamp() // 86400)] == (r.bytes, r.frames) for r in rows)
+
+
+def test_written_playlists_read_back(spark, sf_dir):
+    from framewright import queries as Q
+    from framewright.operators import segments
+    from framewright.sources import playlists
+
+    f = frames(spark, sf_dir)
+    parts = segments.llhls_parts(f, Q.PART, Q.SEGMENT)
+    back = texts.llhls(playlists.llhls(parts, Q.PART).withColumnsRenamed({"stream_key": "path", "playlist": "content"}))
+    kept = segments.newest(parts.groupBy("stream_key", "segment").count(), "stream_key", "segment", 4)
+    assert sorted((r.path, r.msn, r.part, r.independent) for r in back.collect()) == sorted((r.stream_key, r.segment, r.part, r.independent) for r in parts.join(kept, ["stream_key", "segment"]).collect())
+    timeline = segments.dash_timeline(f, keep=5)
+    back = texts.mpd(playlists.mpd(timeline).withColumnsRenamed({"stream_key": "path", "mpd": "content"}))
+    assert sorted((r.path, r.number, r.t, r.d) for r in back.collect()) == sorted((r.stream_key, r.segment, r.t, r.d) for r in timeline.collect())
+    hls = segments.playlist(f).withColumnsRenamed({"stream_key": "path", "m3u8": "content"})
+    assert texts.m3u8(hls).groupBy("path").count().agg(F.max("count")).first()[0] == 5
+    assert "fps" in playlists.report_text(Q.quality.report(f)).first().report
