@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalars as S
-from .operators import catalog, flow, quality, segments
+from .operators import catalog, flow, quality, segments, tracks
 from .plans.frames import FRAMES_SQL, frames, table
 from .sources import flv, fmp4, mpegps, mpegts, playlists, rtp
 
@@ -369,3 +369,21 @@ def _webhooks(spark, sf_dir):
     rows = e.select(F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("stream_key"), F.lit("rtmp").alias("protocol"), F.lit("").alias("remote_addr"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("timestamp"), F.col("props").alias("extra"))
     sent = webhook_payload(rows).select(F.from_json("value", "event string, stream_key string").alias("v"))
     return sent.groupBy("v.event").agg(F.count("*").alias("sent"), F.count_distinct("v.stream_key").alias("streams"))
+
+
+on_frames("latest_headers", tracks.latest_headers, " SELECT stream_key, media, max(seq) AS seq, arg_max(size, seq) AS size FROM frames WHERE frame_type = 'seqhdr' GROUP BY ALL")
+on_frames("sender_counters", tracks.sender_counters, """, s AS (SELECT *, (row_number() OVER (PARTITION BY stream_key, media ORDER BY seq) - 1 + 65500) % 65536 AS s FROM frames)
+SELECT stream_key, media, count(*) AS packets, sum(size)::BIGINT AS octets, arg_max(dts_ms, seq) AS last_ms, max(s) AS highest_seq FROM s GROUP BY stream_key, media""")
+on_frames("feedback_counters", tracks.feedback_counters, " SELECT stream_key, media, count(*) FILTER (WHERE frame_type = 'key') AS pli, count(*) FILTER (WHERE frame_type = 'seqhdr') AS nack, arg_max(pts_ms - dts_ms, seq) AS jitter FROM frames GROUP BY ALL")
+on_frames("after_cache", lambda f: tracks.after_cache(f, segments.gops(f).where("gop_id <= 2")), GOPS + ", e AS (SELECT stream_key, max(start_ms + duration_ms) AS end_ms FROM gops WHERE gop_id <= 2 GROUP BY 1) SELECT stream_key, seq FROM frames JOIN e USING (stream_key) WHERE dts_ms > end_ms")
+on_tables("stream_info", tracks.stream_info, ("events",), """WITH a AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), b AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'error') AND event_id % 2 = 0 GROUP BY ALL)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.name, b.name) AS name, coalesce(b.n, a.n) AS subscribers FROM a FULL JOIN b ON a.user_id = b.user_id AND a.name = b.name""")
+on_frames("segment_lookup", lambda f: tracks.segment_lookup(segments.newest(segments.hls(f), "stream_key", "segment", 5), f.select("stream_key", F.pmod("seq", F.lit(30)).alias("number")).distinct()), HLS + """, rq AS (SELECT DISTINCT stream_key, seq % 30 AS number FROM frames), e AS (SELECT stream_key, max(segment) AS newest FROM last5 GROUP BY 1)
+SELECT rq.stream_key, number, CASE WHEN l.segment IS NOT NULL THEN 'found' WHEN number > coalesce(newest, -1) THEN 'wait' ELSE 'gone' END AS answer FROM rq LEFT JOIN e USING (stream_key) LEFT JOIN last5 l ON l.stream_key = rq.stream_key AND l.segment = number""")
+
+
+@query("session_moves", "SELECT o_orderkey AS session, CASE WHEN o_orderstatus = 'O' AND l = 1 THEN 'playing' WHEN o_orderstatus = 'P' AND l = 0 THEN 'ready' WHEN o_orderstatus = 'F' THEN 'closed' END AS next_state FROM (SELECT *, o_custkey % 2 AS l FROM orders)")
+def _moves(spark, sf_dir):
+    status, odd = F.col("o_orderstatus"), F.col("o_custkey") % 2 == 1
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), F.when(status == "P", F.when(odd, "playing").otherwise("init")).when(status == "O", F.when(odd, "ready").otherwise("closed")).otherwise("recording").alias("state"), F.when(status == "P", "setup").when(status == "O", "play").otherwise("teardown").alias("request"))
+    return tracks.moves(steps).select("session", "next_state")
