@@ -29,6 +29,7 @@ from .tokens import slices
 END = b"\n"
 FREQUENT, BINS = 32_768, 1024
 STATES, ROUNDS = 8, 4
+#: FREQUENT: at most so many words of their own class, down to a common grade of frequency.
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 
@@ -80,7 +81,15 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    # A histogram over logarithms of the counts tells how far down the FREQUENT words reach; no more than these are gathered.
+    grade = F.floor(F.log2("n") * 64)
+    words, left, least = counts.where(F.col("word") != END), FREQUENT, None
+    for r in sorted(words.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.g
+    top = [] if least is None else sorted(words.where(grade >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
     frequent = {bytes(r.word): i + 1 for i, r in enumerate(top)}
     ends = counts.where(F.col("word") == END).collect()
     spark = counts.sparkSession
