@@ -36,8 +36,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """
     lines = F.split(text_of(docs), "\n")
     # The text's hash stands beside doc_id, so that rows which share an id, or have none, keep their own positions.
-    keyed = docs.withColumns({"_t": F.xxhash64(text_of(docs)), "_lines": lines}).withColumn("_id", docs["doc_id"] if "doc_id" in docs.columns else F.lit(None).cast("long"))
-    hashes = F.transform("_lines", _hash)
+    keyed = docs.withColumns({"__line_hash": F.xxhash64(text_of(docs)), "__lines": lines}).withColumn("__line_id", docs["doc_id"] if "doc_id" in docs.columns else F.lit(None).cast("long"))
+    hashes = F.transform("__lines", _hash)
     frequent = cut(
         keyed.select(F.explode(F.array_distinct(hashes)).alias("h"))
         .where("h is not null")
@@ -48,18 +48,18 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     if frequent.count() <= BROADCAST_ROWS:
         frequent = F.broadcast(frequent)
     gone = (
-        keyed.select("_id", "_t", F.posexplode(hashes).alias("p", "h"))
+        keyed.select("__line_id", "__line_hash", F.posexplode(hashes).alias("p", "h"))
         .where("h is not null")
-        .select("_id", "_t", "p", "h.a", "h.b")
+        .select("__line_id", "__line_hash", "p", "h.a", "h.b")
         .join(frequent, ["a", "b"], "left_semi")
-        .groupBy("_id", "_t").agg(F.collect_set("p").alias("_gone"))
-        .select(F.col("_id").alias("_id2"), F.col("_t").alias("_t2"), "_gone")
+        .groupBy("__line_id", "__line_hash").agg(F.collect_set("p").alias("__line_gone"))
+        .select(F.col("__line_id").alias("__line_id2"), F.col("__line_hash").alias("__line_hash2"), "__line_gone")
     )
-    at = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_t") == F.col("_t2")), "left")
-    gone_at = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone_at), lambda i: F.get("_lines", i)), "\n")
+    at = keyed.join(gone, F.col("__line_id").eqNullSafe(F.col("__line_id2")) & (F.col("__line_hash") == F.col("__line_hash2")), "left")
+    gone_at = F.coalesce("__line_gone", F.array().cast("array<int>"))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone_at), lambda i: F.get("__lines", i)), "\n")
     return at.withColumns({
         "text": F.when(F.size(gone_at) == 0, F.col("text")).otherwise(kept),
-        "n_lines": F.size("_lines").cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
         "n_dropped": F.size(gone_at).cast("long"),
     }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

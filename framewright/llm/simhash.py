@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
 from .common import cut, written
@@ -228,6 +228,9 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_first(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
-    """docs with one document of each component: the one with the component's id. Rows without doc_id stay."""
-    kept = near_duplicates(docs, width, seed, budget).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """docs with one document of each component: the one with the component's id. Of rows that repeat this id, one stays. Rows without doc_id stay."""
+    kept = near_duplicates(docs, width, seed, budget).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    # Tasks drop repeats before rows move; where the join has dealt rows by doc_id, they don't move again.
+    first = found.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__nth = 1").drop("__nth")
+    return first.unionByName(docs.where("doc_id IS NULL"))

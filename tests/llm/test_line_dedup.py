@@ -39,3 +39,10 @@ def test_shuffled_join_agrees(spark, sf_dir, monkeypatch):
 
 def test_empty(spark):
     assert line_dedup.drop_frequent_lines(D.empty(spark)).collect() == []
+
+
+def test_other_columns_pass_through(spark):
+    docs = D.awkward(spark, extra=True)
+    got = line_dedup.drop_frequent_lines(docs, 2)
+    assert got.columns == [c for c in docs.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert {(r._t, r.h, r.a, r.key) for r in got.collect()} == {("clash",) * 4}

@@ -109,3 +109,9 @@ def test_keep_first(spark, sf_dir):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in near.collect()}
+
+
+def test_keep_first_of_repeated_rows(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "other words here"), (None, "a b c d"), (None, None)]
+    kept = simhash.keep_first(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, root int")).collect()
+    assert sorted((r.doc_id or -1, r.text or "", r.fp) for r in kept) == [(-1, "", "x"), (-1, "a b c d", "x"), (1, "a b c d", "x"), (3, "other words here", "x")]
