@@ -11,7 +11,7 @@ def label_sample(rows: DataFrame, label: str, per_label: int) -> list:
     Hash values are dealt into per_label bins a label and the least of each bin is
     taken: a few numbers a bin are gathered, whatever the table's size, and only
     the rows chosen are then fetched. Null labels and null texts are never drawn;
-    rows that share an id are drawn together, the first of equal labels counts.
+    of rows that share an id and a label, the first text by order is drawn.
     """
     h = F.xxhash64("doc_id")
     usable = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("label"), "text")
@@ -19,5 +19,5 @@ def label_sample(rows: DataFrame, label: str, per_label: int) -> list:
     wanted = [r.h for r in chosen.collect()]
     if not wanted:
         return []
-    found = usable.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in wanted], "h long")), h == F.col("h"), "left_semi").orderBy(h, "text").collect()
-    return list({(r.label, r.doc_id): r for r in reversed(found)}.values())[::-1]
+    drawn = usable.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in wanted], "h long")), h == F.col("h"), "left_semi")
+    return drawn.groupBy("label", "doc_id").agg(F.min("text").alias("text")).orderBy(h, "label").collect()
