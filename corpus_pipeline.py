@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from framewright.llm import langid, line_dedup, packing, quality, queries, simhash
+from framewright.llm import langid, line_dedup, packing, quality, queries, resemblance
 from framewright.llm.common import table, written
 
 #: Least quality score of a document that stays, as the classifier's query predicts.
@@ -39,8 +39,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays: the one with the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each component stays, the one with the smallest doc_id. Links: 0.8 or more of the 5-word shingles shared."""
+    return resemblance.keep_first(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
