@@ -29,11 +29,10 @@ def merged(first: Column, over: Column) -> Column:
     return F.map_concat(F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)
 
 
-def stream_info(events: DataFrame) -> DataFrame:
-    """Subscribers by muxer (events on even minutes) and by protocol (all), the protocol's numbers winning."""
+def stream_info(muxer: DataFrame, protocol: DataFrame) -> DataFrame:
+    """Subscribers by muxer and by protocol, all rows (user_id, event_type) of each counted; the protocol's numbers win."""
     counted = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
-    muxer = counted(events.where("event_type IN ('view', 'click')")).withColumnRenamed("m", "muxer")
-    protocol = counted(events.where("event_type IN ('view', 'error') AND event_id % 2 = 0")).withColumnRenamed("m", "protocol")
+    muxer, protocol = counted(muxer).withColumnRenamed("m", "muxer"), counted(protocol).withColumnRenamed("m", "protocol")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     both = muxer.join(protocol, "user_id", "full").select("user_id", merged(F.coalesce("muxer", none), F.coalesce("protocol", none)).alias("m"))
     return both.select("user_id", F.explode("m").alias("name", "subscribers"))

@@ -211,11 +211,11 @@ on_frames("bitrate_admission", lambda f: flow.bitrate_admission(f, DAY, 4000), N
 
 
 def _shuffled(f: DataFrame) -> DataFrame:
-    """Packets that arrive out of order: blocks of five reversed, every eleventh lost, numbers near the wrap."""
+    """All packets, arriving out of order: blocks of five reversed, numbers near the wrap."""
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("stream_key").orderBy("seq")) - 1
-    rows = f.select("stream_key", n.cast("bigint").alias("n")).where("n % 11 <> 7")
+    rows = f.select("stream_key", n.cast("bigint").alias("n"))
     return rows.select("stream_key", F.pmod(F.col("n") + 65500, F.lit(65536)).cast("bigint").alias("rtp_seq"), (F.floor(F.col("n") / 5) * 5 + 4 - F.col("n") % 5).cast("bigint").alias("arrival"))
 
 
@@ -376,8 +376,10 @@ on_frames("sender_counters", tracks.sender_counters, """, s AS (SELECT *, (row_n
 SELECT stream_key, media, count(*) AS packets, sum(size)::BIGINT AS octets, arg_max(dts_ms, seq) AS last_ms, max(s) AS highest_seq FROM s GROUP BY stream_key, media""")
 on_frames("feedback_counters", tracks.feedback_counters, " SELECT stream_key, media, count(*) FILTER (WHERE frame_type = 'key') AS pli, count(*) FILTER (WHERE frame_type = 'seqhdr') AS nack, arg_max(pts_ms - dts_ms, seq) AS jitter FROM frames GROUP BY ALL")
 on_frames("after_cache", lambda f: tracks.after_cache(f, segments.gops(f).where("gop_id <= 2")), GOPS + ", e AS (SELECT stream_key, max(start_ms + duration_ms) AS end_ms FROM gops WHERE gop_id <= 2 GROUP BY 1) SELECT stream_key, seq FROM frames JOIN e USING (stream_key) WHERE dts_ms > end_ms")
-on_tables("stream_info", tracks.stream_info, ("events",), """WITH a AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), b AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'error') AND event_id % 2 = 0 GROUP BY ALL)
+# The SQL gives the protocol events with even ids only; stream_info_all counts all of both.
+on_tables("stream_info", lambda e: tracks.stream_info(e.where("event_type IN ('view', 'click')"), e.where("event_type IN ('view', 'error') AND event_id % 2 = 0")), ("events",), """WITH a AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL), b AS (SELECT user_id, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('view', 'error') AND event_id % 2 = 0 GROUP BY ALL)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.name, b.name) AS name, coalesce(b.n, a.n) AS subscribers FROM a FULL JOIN b ON a.user_id = b.user_id AND a.name = b.name""")
+on_tables("stream_info_all", lambda e: tracks.stream_info(e.where("event_type IN ('view', 'click')"), e.where("event_type IN ('view', 'error')")), ("events",), "SELECT user_id, event_type AS name, count(*) AS subscribers FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL")
 on_frames("segment_lookup", lambda f: tracks.segment_lookup(segments.newest(segments.hls(f), "stream_key", "segment", 5), f.select("stream_key", F.pmod("seq", F.lit(30)).alias("number")).distinct()), HLS + """, rq AS (SELECT DISTINCT stream_key, seq % 30 AS number FROM frames), e AS (SELECT stream_key, max(segment) AS newest FROM last5 GROUP BY 1)
 SELECT rq.stream_key, number, CASE WHEN l.segment IS NOT NULL THEN 'found' WHEN number > coalesce(newest, -1) THEN 'wait' ELSE 'gone' END AS answer FROM rq LEFT JOIN e USING (stream_key) LEFT JOIN last5 l ON l.stream_key = rq.stream_key AND l.segment = number""")
 

@@ -42,3 +42,19 @@ def test_program_stream_over_rtp(spark):
     rows = spark.createDataFrame([(1, i, i == len(parts) - 1, 0, bytearray(p)) for i, p in enumerate(parts)], "stream_key int, idx bigint, marker boolean, rtp_ts bigint, payload binary")
     joined = rtp.access_units(rows).groupBy(F.col("stream_key").cast("string").alias("path"), "au_id").agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY idx)").alias("content"))
     assert shown(mpegps.frames(joined.select("path", "content")).collect()) == shown(mpegps.frames(mpegps.mux(f)).collect())
+
+
+def test_stream_info_counts_all_rows(spark):
+    rows = spark.createDataFrame([(1, "view")] * 3 + [(1, "click"), (2, "view")], "user_id int, event_type string")
+    other = spark.createDataFrame([(1, "view")] * 5 + [(1, "error"), (3, "error")], "user_id int, event_type string")
+    assert sorted(r[:] for r in tracks.stream_info(rows, other).collect()) == [(1, "click", 1), (1, "error", 1), (1, "view", 5), (2, "view", 1), (3, "error", 1)]
+
+
+def test_reorder_gets_all_packets_and_passes_lost_ones(spark, sf_dir):
+    from framewright import queries as Q
+    from framewright.operators import flow
+
+    f = Q.frames(spark, sf_dir)
+    assert len(Q.QUERIES["reorder_emit"](spark, sf_dir).collect()) == f.count()
+    lost = spark.createDataFrame([(1, s, i) for i, s in enumerate((65533, 65535, 65534, 2, 1, 4, 3))], "stream_key long, rtp_seq long, arrival long")
+    assert [r.rtp_seq for r in flow.reorder(lost, 3).collect()] == [65533, 65534, 65535, 1, 2, 3, 4]
