@@ -111,7 +111,7 @@ def rtsp_request(text: Column) -> Column:
     head, body = F.substring_index(text, "\r\n\r\n", 1), F.regexp_replace(text, r"(?s)^.*?\r\n\r\n", "")
     lines = F.split(head, "\r\n")
     first = F.split(F.get(lines, 0), " ")
-    pairs = F.transform(F.filter(F.slice(lines, 2, 1000), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    pairs = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     names = F.transform(pairs, lambda p: p["k"])
     kept = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: F.array_position(names, p["k"]) == p["i"] + 1)
     return F.struct(F.get(first, 0).alias("method"), F.get(first, 1).alias("url"), F.get(first, 2).alias("version"), F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"]))).alias("headers"), F.when(F.contains(text, F.lit("\r\n\r\n")), body).otherwise("").alias("body"))

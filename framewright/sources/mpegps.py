@@ -22,7 +22,7 @@ def stream_map(pkts: DataFrame) -> DataFrame:
     last = pkts.where("stream_id = 188").groupBy("path").agg(F.max_by("data", "idx").alias("data"))
     first = 6 + B.u16(d, 2)
     end = first + B.u16(d, first - 2)
-    entries = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.struct(first.alias("at"), F.array().cast("array<struct<type:bigint,id:bigint>>").alias("out")), lambda a, _: F.when(a["at"] + 4 <= end, F.struct((a["at"] + 4 + B.u16(d, a["at"] + 2)).alias("at"), F.concat(a["out"], F.array(F.struct(B.u8(d, a["at"]).alias("type"), B.u8(d, a["at"] + 1).alias("id")))).alias("out"))).otherwise(a))["out"]
+    entries = F.aggregate(F.sequence(F.lit(0), F.greatest(F.floor((end - first) / 4), F.lit(0)).cast("int")), F.struct(first.alias("at"), F.array().cast("array<struct<type:bigint,id:bigint>>").alias("out")), lambda a, _: F.when(a["at"] + 4 <= end, F.struct((a["at"] + 4 + B.u16(d, a["at"] + 2)).alias("at"), F.concat(a["out"], F.array(F.struct(B.u8(d, a["at"]).alias("type"), B.u8(d, a["at"] + 1).alias("id")))).alias("out"))).otherwise(a))["out"]
     codec = F.element_at(F.create_map(*(x for k, v in STREAM_TYPES.items() for x in (F.lit(k).cast("bigint"), F.lit(v)))), F.col("e.type"))
     return last.select("path", F.explode(entries).alias("e")).select("path", F.col("e.id").alias("stream_id"), codec.alias("codec")).where("codec IS NOT NULL")
 

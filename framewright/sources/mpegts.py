@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import bits as B, codecs
 from ..operators.fold import Machine, fold
+from . import walk
 
 PACKET = 188
 # Stream type -> codec, media. Other types have no codec here and are dropped.
@@ -13,30 +14,38 @@ STREAM_TYPES = {0x1B: ("H264", "video"), 0x24: ("H265", "video"), 0x0F: ("AAC",
 
 
 def packets(files: DataFrame) -> DataFrame:
-    """path, idx, pid, start (payload unit start) and payload of every packet of (path, content), from the first sync byte that the next packet confirms."""
-    at = F.get(F.filter(F.sequence(F.lit(0), F.lit(PACKET - 1)), lambda i: (B.u8(F.col("content"), i) == 0x47) & (F.coalesce(B.u8(F.col("content"), i + PACKET), F.lit(0x47)) == 0x47)), F.lit(0))
-    count = F.floor((F.octet_length("content") - F.col("_at")) / PACKET).cast("int")
-    rows = files.select("path", "content", at.alias("_at")).where(F.col("_at").isNotNull() & (F.octet_length("content") >= F.col("_at") + PACKET))
-    rows = rows.select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("idx"), "_at", "content").select("path", "idx", B.piece(F.col("content"), F.col("_at") + F.col("idx") * PACKET, PACKET).alias("p")).where(B.u8(F.col("p"), 0) == 0x47)
+    """path, idx, pid, start (payload unit start) and payload of every packet of (path, content); sync is sought again where it is lost."""
+    rows = walk.walked(files, walk.transport_packets, "p binary")
     head, control = B.u16(F.col("p"), 1), B.field(B.u8(F.col("p"), 3), 4, 2)
     skip = F.when(control.bitwiseAND(F.lit(2)) != 0, 5 + B.u8(F.col("p"), 4)).otherwise(F.lit(4))
     return rows.where(control.bitwiseAND(F.lit(1)) != 0).select("path", "idx", B.field(head, 0, 13).alias("pid"), (B.field(head, 14, 1) == 1).alias("start"), B.after(F.col("p"), skip).alias("payload"))
 
 
+def _sections(pkts: DataFrame, table_id: int) -> DataFrame:
+    """path, pid, s: the first whole section of that kind of each pid, joined over its packets; its end may lie before the next one's start."""
+    by = Window.partitionBy("path", "pid").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pkts.select("path", "pid", "idx", "start", "payload", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(by).alias("n"))
+    pointer = B.u8(F.col("payload"), 0)
+    own = rows.where("n > 0").select("path", "pid", "n", "idx", F.when(F.col("start"), B.after(F.col("payload"), 1 + pointer)).otherwise(F.col("payload")).alias("part"))
+    before = rows.where("start AND n > 1").select("path", "pid", (F.col("n") - 1).alias("n"), "idx", B.piece(F.col("payload"), F.lit(1), pointer.cast("int")).alias("part"))
+    whole = own.unionByName(before).groupBy("path", "pid", "n").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY idx)").alias("s"))
+    s = F.col("s")
+    return whole.where((B.u8(s, 0) == table_id) & (F.octet_length(s) >= 3 + B.u16(s, 1).bitwiseAND(F.lit(0xFFF)))).groupBy("path", "pid").agg(F.min_by("s", "n").alias("s"))
+
+
 def streams(pkts: DataFrame) -> DataFrame:
     """path, pid, stream_type of the elementary streams that each file's first tables name."""
-    section = F.expr("substring(payload, 2 + cast(conv(hex(substring(payload, 1, 1)), 16, 10) AS int))")
-    pat = pkts.where("pid = 0 AND start").groupBy("path").agg(F.min_by(section, F.col("idx")).alias("s"))
+    pat = _sections(pkts.where("pid = 0"), 0)
     programs = F.floor((B.u16(F.col("s"), 1).bitwiseAND(F.lit(0xFFF)) - 9) / 4).cast("int")
     pmts = pat.where(programs > 0).select("path", "s", F.explode(F.sequence(F.lit(0), programs - 1)).alias("i")).where(B.u16(F.col("s"), 8 + 4 * F.col("i")) != 0).select("path", B.u16(F.col("s"), 10 + 4 * F.col("i")).bitwiseAND(F.lit(0x1FFF)).alias("pid"))
-    tables = pkts.where("start").join(pmts, ["path", "pid"]).groupBy("path", "pid").agg(F.min_by(section, F.col("idx")).alias("s"))
+    tables = _sections(pkts.join(pmts.distinct(), ["path", "pid"]), 2)
     s = F.col("s")
     end = 3 + B.u16(s, 1).bitwiseAND(F.lit(0xFFF)) - 4
     first = 12 + B.u16(s, 10).bitwiseAND(F.lit(0xFFF))
-    # Entries have lengths of their own: at most 64 are followed, a section holds no more.
-    walk = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.struct(first.cast("bigint").alias("at"), F.array().cast("array<struct<stream_type:bigint,pid:bigint>>").alias("out")), lambda a, _: F.when(
+    # Entries have lengths of their own, of 5 bytes or more.
+    entries = F.aggregate(F.sequence(F.lit(0), F.greatest(F.floor((end - first) / 5), F.lit(0)).cast("int")), F.struct(first.cast("bigint").alias("at"), F.array().cast("array<struct<stream_type:bigint,pid:bigint>>").alias("out")), lambda a, _: F.when(
         a["at"] + 5 <= end, F.struct((a["at"] + 5 + B.u16(s, a["at"] + 3).bitwiseAND(F.lit(0xFFF))).alias("at"), F.concat(a["out"], F.array(F.struct(B.u8(s, a["at"]).alias("stream_type"), B.u16(s, a["at"] + 1).bitwiseAND(F.lit(0x1FFF)).alias("pid")))).alias("out"))).otherwise(a))
-    return tables.select("path", F.explode(walk["out"]).alias("e")).select("path", "e.pid", "e.stream_type")
+    return tables.select("path", F.explode(entries["out"]).alias("e")).select("path", "e.pid", "e.stream_type")
 
 
 def pes(pkts: DataFrame, pids: DataFrame) -> DataFrame:

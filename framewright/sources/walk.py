@@ -40,6 +40,28 @@ def program_stream(data: bytes) -> Iterator[tuple]:
         at = data.find(b"\0\0\1", at + size)
 
 
+def transport_packets(data: bytes, size: int = 188) -> Iterator[tuple]:
+    """Each packet. A start is sought where the next packet, if there is one, begins with a sync byte too; it is sought again when sync is lost.
+
+    A packet that the next start cuts short is dropped, one that junk follows is kept.
+    """
+    def sync(at: int) -> int:
+        while 0 <= (at := data.find(b"\x47", at)) and at + size <= len(data):
+            if data[at + size : at + size + 1] in (b"", b"\x47"):
+                return at
+            at += 1
+        return -1
+
+    at = sync(0)
+    while 0 <= at and at + size <= len(data):
+        after = at + size
+        if data[after : after + 1] not in (b"", b"\x47"):
+            after = sync(at + 1)
+        if not at < after < at + size:
+            yield (data[at : at + size],)
+        at = after
+
+
 def boxes(data: bytes, begin: int = 0, end: int | None = None, trail: str = "", moof: list | None = None) -> Iterator[tuple]:
     """(trail, moof start, number of the traf or trak, offset of the body, body) of every box that holds no others; mdat without its body."""
     moof = moof if moof is not None else [0, 0]

@@ -88,6 +88,29 @@ def test_ts_finds_its_first_packet(spark):
     assert mpegts.frames(spark.createDataFrame([("x", bytearray(b"\1" * 400)), ("y", bytearray(b""))], "path string, content binary")).collect() == []
 
 
+def test_ts_syncs_again(spark):
+    """A byte lost or added in mid-file, or much junk in front, costs one packet at most."""
+    content = bytes(mpegts.joined(mpegts.mux(frames(spark))).first().content)
+    count, at = len(content) // 188, len(content) // 188 // 2 * 188
+    cases = {"lost": content[: at + 50] + content[at + 51 :], "added": content[:at] + b"\1" + content[at:], "junk": b"\1" * 1000 + content}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    found = {r.path: r["count"] for r in mpegts.packets(df).groupBy("path").count().collect()}
+    assert found == {"lost": count - 1, "added": count, "junk": count}
+
+
+def test_ts_table_over_packets(spark):
+    """A program map of 150 streams takes more than four packets."""
+    w = mpegts.Writer(0x1B, 0x0F)
+    entries = b"".join(bytes([0x1B]) + (0xE000 | 0x200 + i).to_bytes(2, "big") + b"\xf0\x00" for i in range(150))
+    body = b"\x02" + (0xB000 | 13 + len(entries)).to_bytes(2, "big") + b"\x00\x01\xc1\x00\x00\xe2\x00\xf0\x00" + entries
+    rest, start, out = b"\0" + body + mpegts._crc(body).to_bytes(4, "big"), True, w._tables()[:188]
+    while rest:
+        packet, rest = w._packet(w.PMT, start, rest)
+        out, start = out + packet, False
+    df = spark.createDataFrame([("x", bytearray(out))], "path string, content binary")
+    assert sorted(r.pid for r in mpegts.streams(mpegts.packets(df)).collect()) == list(range(0x200, 0x200 + 150))
+
+
 @pytest.mark.parametrize("codec", ["VP8", "VP9", "AV1"])
 def test_rtp_round_trip(spark, codec):
     f = frames(spark).where("media = 'video' AND stream_key = 1")
