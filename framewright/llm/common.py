@@ -58,10 +58,41 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+#: Rows of a table that are broadcast for the keys that more than one in HOT rows has: there are fewer such keys than HOT.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with values on key, which is unique in values; column `n` of values says how many of the rows have the key.
+
+    Keys of more than one in HOT rows are broadcast, fewer than HOT; so no key that
+    many rows share is dealt to one task. Column n stays out of the result.
+    """
+    total = values.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT > total
+    some = F.broadcast(values.where(hot).drop(n))
+    often = rows.join(some, key)
+    return often.unionByName(rows.join(some.select(key), key, "left_anti").join(values.where(~hot).drop(n), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """name, or name with as many lines appended as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(df: DataFrame, *names: str) -> list[Column]:
+    """df's columns but those of these names."""
+    gone = {n.lower() for n in names}
+    return [df[f"`{c}`"] for c in df.columns if c.lower() not in gone]
+
+
 def text_of(df: DataFrame) -> Column:
     """Null texts count as empty."""
     return F.coalesce(df["text"], F.lit(""))

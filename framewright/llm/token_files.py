@@ -2,9 +2,11 @@
 
 A word of 64 bits holds a selector in its top 4 bits and up to 60 ids of equal
 width below; ids wider than the widest selector follow an escape word raw. A
-block has its own words, the word and id offsets of its documents, and decodes
-by itself: one vectorised pass for each selector. A file row is one block, so
-any store that Spark writes to can hold the files.
+block has its own words and decodes by itself, one vectorised pass for each
+selector. For each of its documents it also has the word in which the document
+begins and the ids of that word that come before, so that one document can be
+read without the block's other words. A file row is one block, so any store that
+Spark writes to can hold the files.
 """
 
 from __future__ import annotations
@@ -20,18 +22,25 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import text_of
 from .tokens import slices, word_ids
 
-#: (ids in a word, bits of each) for the selectors 1 to 13; selector 0 is a run of zeros, 15 an escape.
+#: (ids in a word, bits of each) for the selectors 1 to 13; 15 is an escape, 0 and 14 are not used.
 WIDTHS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 BLOCK_IDS = 65_536
-FILE_SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, words binary"
+#: Characters by which rows that share an id are dealt; in a shard they stand by their whole text.
+PREFIX = 32
+FILE_SCHEMA = "shard int, block int, n_ids long, doc_ids array<long>, doc_lengths array<long>, doc_words array<long>, doc_skips array<int>, words binary"
 
 
 _NEED = np.array([w for _, w in WIDTHS], np.int8)[np.searchsorted(np.array([1 << w for _, w in WIDTHS]), np.arange(1 << 16), side="right")]
 
 
 def encode(ids: np.ndarray) -> np.ndarray:
-    """Simple-8b words (uint64) of unsigned ids below 2**60.
+    """Simple-8b words (uint64) of unsigned ids below 2**60."""
+    return encoded_at(ids, np.zeros(0, np.int64))[0]
+
+
+def encoded_at(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of ids and, for each place of `at`, the word (its escape, if it has one) that holds the id there and how many ids of it come before.
 
     The selector at each place is the one that takes most ids; all places are
     weighed at once, then the chain of places is followed.
@@ -39,7 +48,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     # The width that each id needs, then the widest need of the next count ids at every place, by doubling.
     widths = np.array([w for _, w in WIDTHS], np.int8)
     limits = np.array([1 << w for _, w in WIDTHS], np.uint64)
@@ -54,11 +63,11 @@ def encode(ids: np.ndarray) -> np.ndarray:
         fitting += most[:n] <= width
     best = np.array([ESCAPE, *range(len(WIDTHS), 0, -1)], np.int8).take(fitting)
     step = np.array([0, *(c for c, _ in WIDTHS), 0, 1], np.int64)[best].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+    chain, here = [], 0
+    while here < n:
+        chain.append(here)
+        here += step[here]
+    starts = np.array(chain)
     sels = best[starts].astype(np.int64)
     place = np.cumsum(np.concatenate([[0], np.where(sels == ESCAPE, 2, 1)]))
     words = np.zeros(place[-1], np.uint64)
@@ -74,11 +83,12 @@ def encode(ids: np.ndarray) -> np.ndarray:
         for j in range(count):
             filled |= padded.take(begin + j) << np.uint64(j * width)
         words[place[:-1][mine]] = filled
-    return words
+    holds = np.searchsorted(starts, at, side="right") - 1
+    return words, place[holds], at - starts[holds]
 
 
 def decode(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of encode()'s words; the last word may be filled with zeros beyond them."""
+    """The n ids of encode()'s words; the last word may be filled with zeros beyond them. Words with a selector that is not used raise ValueError."""
     words = np.asarray(words, np.uint64)
     sels = (words >> np.uint64(60)).astype(np.int64)
     head = np.ones(len(words), bool)
@@ -88,6 +98,8 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
             if e >= at:
                 head[e + 1] = False
                 at = e + 2
+    if (head & ((sels == 0) | (sels == 14))).any():
+        raise ValueError("no words of encode(): a selector is not used")
     counts = np.array([0, *(c for c, _ in WIDTHS), 0, 1], np.int64)[sels] * head
     starts = np.cumsum(counts) - counts
     out = np.zeros(int(counts.sum()) or 0, np.uint64)
@@ -104,15 +116,23 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def document(words: np.ndarray, word: int, skip: int, length: int) -> np.ndarray:
+    """The ids of one document of a block, from the words that hold them alone."""
+    # A word holds an id at least, an escape two words one id; if the last one is an escape beyond the document, a word follows it.
+    some = words[word : word + 2 * (skip + length)]
+    return decode(np.append(some, np.uint64(1 << 60)), skip + length)[skip:]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, shards: int | None = None) -> None:
     """Write the ids of docs in ascending doc_id order, as Parquet rows of one block each, a shard a task.
 
-    Texts are dealt by ranges of doc_id and encoded where they land, in order;
-    rows that share an id stand side by side, by their text. Null and empty texts
-    hold the end id alone; null ids come first.
+    Texts are dealt by ranges of doc_id, rows that share an id or have none also by
+    the beginning of their text, and encoded where they land, in order: rows that
+    share an id stand side by side, by their text. Null and empty texts hold the end
+    id alone; null ids come first.
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("words", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("doc_skips", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, shard = word_ids(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
@@ -123,7 +143,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         def close() -> pa.RecordBatch:
             nonlocal names, held, size, block
             ids = np.frombuffer(b"".join(held), "<u4")
-            row = [[shard], [block], [len(ids)], [names], [[len(x) // 4 for x in held]], [encode(ids).astype("<u8").tobytes()]]
+            lengths = np.array([len(x) // 4 for x in held])
+            words, at, skips = encoded_at(ids, np.cumsum(lengths) - lengths)
+            row = [[shard], [block], [len(ids)], [names], [lengths], [at], [skips.astype(np.int32)], [words.astype("<u8").tobytes()]]
             names, held, size, block = [], [], 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
@@ -138,7 +160,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if held:
             yield close()
 
-    ordered = docs.select("doc_id", text_of(docs).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", text_of(docs).alias("text")).repartitionByRange(shards, F.col("doc_id"), F.left("text", F.lit(PREFIX))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
 

@@ -1,23 +1,39 @@
-"""Ids of the word-end BPE tokenizer, for packing and for token files.
+"""Ids of a word-end BPE tokenizer, for packing and for token files.
 
-The tokenizer drops white space, lower-cases, splits words from signs and merges
-each by itself, so a text's ids are those of its parts between ASCII blanks, in
-order. Parts repeat; a worker keeps the ids of those that it has met and asks the
-library for new ones only.
+Where the tokenizer's file says that white space is dropped, text is composed and
+lower-cased, and words are split from signs and merged each by itself, a text's
+ids are those of its parts between ASCII blanks, in order. Parts repeat; a worker
+keeps the ids of those that it has met and asks the library for new ones only.
+Any other tokenizer file is left to the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker keeps; beyond it, the store starts anew. Results don't depend on it.
-STORE = 1_000_000
-#: The tokenizer file's own pattern of words, digits and signs.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Parts that a worker keeps; beyond it, the store starts anew. Longer parts than KEPT_BYTES aren't kept. Results don't depend on either.
+STORE, KEPT_BYTES = 1_000_000, 200
+#: The normaliser that parts rely on.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def piece_pattern(settings: dict) -> str | None:
+    """The file's pattern of words, digits and signs; None if parts between blanks can't be encoded each by itself."""
+    steps = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = steps[0] if len(steps) == 2 else {}
+    bytes_after = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    plain = (
+        settings["normalizer"] == NORMALISER and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
+        and {k: v for k, v in steps[1].items() if k != "trim_offsets"} == bytes_after
+        and settings["model"]["type"] == "BPE" and not settings["model"]["dropout"] and not settings["truncation"] and not settings["padding"]
+        and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and len(t["content"].split()) == 1 for t in settings["added_tokens"])
+    )
+    return split["pattern"]["Regex"] if plain else None
 
 
 class _Store(dict):
@@ -27,33 +43,44 @@ class _Store(dict):
         import regex
 
         super().__init__()
-        self.tokenizer, self.split = tokenizer, regex.compile(PIECES).findall
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        settings = json.loads(tokenizer.to_str())
+        self.pattern = piece_pattern(settings)
+        #: How special tokens begin: a part that holds such a beginning goes to the library.
+        self.marks = tuple({t["content"][:2].encode() for t in settings["added_tokens"]})
+        self.split = regex.compile(self.pattern or "").findall
         self.pieces: dict[str, bytes] = {}
-        self.merge = tokenizer.model.tokenize
         # Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    def _encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def marked(self, data: bytes) -> bool:
+        return any(m in data for m in self.marks)
+
     def _merge(self, piece: str) -> bytes:
-        """Ids of a piece of Latin-1 characters, which normalisation only lower-cases: the library's merges alone."""
-        letters = piece.lower() if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.lower().encode()))
+        """Ids of a lower-case piece of Latin-1 characters: the library's merges alone."""
+        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.alphabet.__getitem__, piece.encode()))
         return np.array([t.id for t in self.merge(letters)], "<u4").tobytes()
 
     def __missing__(self, part: bytes) -> bytes:
         text, found = part.decode(), []
-        if b"<|" in part or max(text) >= "\u0100" or min(text) < "!":  # special tokens, or characters that normalisation may change
-            found.append(self._encode(text))
+        if self.marked(part) or max(text) >= "Ā" or min(text) < "!":  # special tokens, or characters that normalisation may change
+            found.append(self.encode(text))
         else:
-            for piece in self.split(text):
+            for piece in self.split(text.lower()):  # normalisation lower-cases before it splits
                 ids = self.pieces.get(piece)
                 if ids is None:
-                    ids = self.pieces[piece] = self._merge(piece)
+                    ids = self._merge(piece)
+                    if len(piece) <= KEPT_BYTES:
+                        self.pieces[piece] = ids
                 found.append(ids)
-        ids = self[part] = b"".join(found)
+        ids = b"".join(found)
+        if len(part) <= KEPT_BYTES:
+            self[part] = ids
         return ids
 
 
@@ -68,13 +95,15 @@ class WordIds:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         known, out = self.known, []
+        if known.pattern is None:
+            return [known.encode(t or "") for t in texts]
         for t in texts:
             if len(known) > STORE:
                 known.clear()
                 known.pieces.clear()
             data = (t or "").encode()
             # Special tokens are matched before lower-casing; without their signs, case makes no difference.
-            parts = data.split() if b"<|" in data else data.lower().split()
+            parts = data.split() if known.marked(data) else data.lower().split()
             out.append(b"".join(map(known.__getitem__, parts)))
         return out
 

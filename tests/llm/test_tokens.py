@@ -72,6 +72,30 @@ def test_parts_have_the_texts_ids(tokenizer, text):
     assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+SCRAPS = ["\x7f", "'S", "'ll", "'RE", "I'M", "<|", "|>", "<|endoftext|>", "<|STARTOFTEXT|>", " ", "\n", "a", "B", "É", "ß", "µ", "Å", "ÿ", "²", "ª", "\u0301", "Σ", "漢", "İ", "1", "!", "\xa0", "\x85", "\xad", "\x1c"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SCRAPS), max_size=14).map("".join))
+def test_signs_of_special_tokens_among_contractions(tokenizer, text):
+    words = tokens.word_ids(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_left_to_the_library():
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    words, library = tokens.WordIds(path), Tokenizer.from_file(path)
+    assert words.known.pattern is None
+    for text in ("IT'S <|x", "  two  blanks\n", "", None, "<|endoftext|>b C"):
+        assert np.frombuffer(words.ids([text])[0], "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_long_parts_are_not_kept():
+    words = tokens.WordIds(queries.tokenizer_path(queries.WORD_TOKENIZER))
+    words.ids(["b" * 5000, "short"])
+    assert list(words.known) == [b"short"] and "b" * 5000 not in words.known.pieces
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 9000), max_size=60))
 def test_pack_block(lengths):
@@ -100,6 +124,30 @@ def test_simple8b_round_trip(ids):
     assert token_files.decode(words, len(ids)).tolist() == ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 50_000), st.integers(2**30, 2**60 - 1)), min_size=1, max_size=80), min_size=1, max_size=20))
+def test_documents_of_a_block_decode_alone(docs):
+    lengths = np.array([len(d) for d in docs])
+    words, at, skips = token_files.encoded_at(np.array([i for d in docs for i in d], np.uint64), np.cumsum(lengths) - lengths)
+    for d, w, k in zip(docs, at.tolist(), skips.tolist()):
+        assert token_files.document(words, w, k, len(d)).tolist() == d
+
+
+def test_unused_selectors_raise():
+    for sel in (0, 14):
+        with pytest.raises(ValueError):
+            token_files.decode(np.array([sel << 60], np.uint64), 1)
+
+
+def test_rows_without_id_are_dealt_to_several_shards(spark, tokenizer, tmp_path):
+    rows = [(None, f"{i:03d} text") for i in range(400)] + [(1, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = files(spark, df, tmp_path, shards=8)
+    assert len(got) == 401 and max(got, key=lambda r: r.start).doc_id == 1
+    held = spark.read.parquet(str(tmp_path / "files")).selectExpr("shard", "size(doc_ids) AS n").collect()
+    assert len(held) > 4 and sum(r.n for r in held) == 401
+
+
 def test_simple8b_density():
     assert len(token_files.encode(np.zeros(600, np.uint64))) == 10
     assert len(token_files.encode(np.full(400, 30_000, np.uint64))) == 100
