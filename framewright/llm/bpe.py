@@ -14,8 +14,8 @@ from base64 import b64decode
 
 #: States that a worker keeps before it starts anew; results don't depend on it.
 MAX_STATES = 200_000
-#: Pieces whose ids a worker keeps.
-MAX_PIECES = 400_000
+#: Pieces whose ids a worker keeps, of no more than KEPT_CHARS.
+MAX_PIECES, KEPT_CHARS = 400_000, 200
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,6 +39,22 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
         self.finals: list[bytes | None] = [b""]
 
+    def _restart(self, state: int) -> int:
+        """Forget all states but this one; its new number."""
+        text, starts = self.pending[state], self.starts[state]
+        self._reset()
+        return self._number(text, starts) if text else 0
+
+    def _number(self, text: bytes, starts: tuple[int, ...]) -> int:
+        number = self.numbers.get(text)
+        if number is None:
+            number = self.numbers[text] = len(self.pending)
+            self.pending.append(text)
+            self.starts.append(starts)
+            self.moves.append({})
+            self.finals.append(None)
+        return number
+
     def _merged(self, parts: list[bytes]) -> list[bytes]:
         """Merge neighbours by rank until none is left: how the merges are compiled."""
         ranks = self.ranks
@@ -95,24 +111,20 @@ class Transducer:
             shared = set(paths[0]).intersection(*paths[1:])
             sure = [p for p in paths[0] if p in shared]
         cut, out = (sure[-1], self._ids(text, sure)) if sure else (0, b"")
-        rest = text[cut:]
-        number = self.numbers.get(rest)
-        if number is None:
-            number = self.numbers[rest] = len(self.pending)
-            self.pending.append(rest)
-            self.starts.append(tuple(s - cut for s in starts[cut:]))
-            self.moves.append({})
-            self.finals.append(None)
+        number = self._number(text[cut:], tuple(s - cut for s in starts[cut:]))
         self.moves[state][byte] = number, out
         return number, out
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece, as little-endian unsigned 32-bit bytes."""
-        if len(self.pending) > MAX_STATES:
-            self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
-            state, ids = moves[state].get(byte) or self._move(state, byte)
+            move = moves[state].get(byte)
+            if move is None:
+                if len(self.pending) > MAX_STATES:
+                    state, moves = self._restart(state), self.moves
+                move = self._move(state, byte)
+            state, ids = move
             if ids:
                 out.append(ids)
         last = self.finals[state]
@@ -142,9 +154,12 @@ class Encoder:
         for block in blocks(text):
             pieces = self.find(block)
             for p in pieces:
-                if p not in known:
-                    known[p] = self.transducer.encode(p.encode())
-            out += map(known.__getitem__, pieces)
+                ids = known.get(p)
+                if ids is None:
+                    ids = self.transducer.encode(p.encode())
+                    if len(p) <= KEPT_CHARS:
+                        known[p] = ids
+                out.append(ids)
         return b"".join(out)
 
 
