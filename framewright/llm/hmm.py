@@ -1,6 +1,10 @@
 """A discrete hidden Markov model in numpy: expected counts and exact likelihoods of batches of sequences.
 
 Sequences are arrays of class numbers. Steps of many sequences are taken together.
+Beyond STRETCH tokens a sequence is cut to stretches; each stretch's matrix from
+state to state carries the forward state, and the backward one, over it exactly,
+so stretches can be worked on side by side in memory that doesn't grow with the
+sequence, and no transition is lost.
 """
 
 from __future__ import annotations
@@ -9,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens of the pieces that training cuts sequences to.
-PIECE = 64
-#: Tokens after which scoring goes on with transfer matrices, so that a long text takes no more steps in a row.
-STRETCH = 256
+#: Tokens of a stretch when scoring and when counting; results don't depend on either.
+STRETCH, COUNTED = 256, 1024
+#: Tokens worked on together.
+TOKENS = 262_144
+#: Steps after which products of matrices are scaled.
+SCALED = 8
 
 
 @dataclass
@@ -20,7 +26,10 @@ class Model:
     start: np.ndarray  # (states,)
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (classes, states)
-    middle: np.ndarray  # (states,): state weights where a piece begins within a sequence; training only
+
+
+def empty(classes: int, states: int) -> Model:
+    return Model(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
 
 
 def initial(class_counts: np.ndarray, states: int, seed: int = 11) -> Model:
@@ -28,83 +37,133 @@ def initial(class_counts: np.ndarray, states: int, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     emit = (class_counts[:, None] + 1) * rng.gamma(2.0, 1.0, (len(class_counts), states))
     move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
-    flat = np.full(states, 1 / states)
-    return Model(flat, move / move.sum(1, keepdims=True), emit / emit.sum(0), flat.copy())
+    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def reestimated(counts: Model, class_counts: np.ndarray, weight: float = 1.0) -> Model:
     """The M step: each state's emissions are smoothed towards the classes' shares, all else by one."""
     share = (class_counts + 1) / (class_counts + 1).sum()
-    occupied = counts.emit.sum(0)
     smooth = weight * len(share)
-    emit = (counts.emit + smooth * share[:, None]) / (occupied + smooth)
+    emit = (counts.emit + smooth * share[:, None]) / (counts.emit.sum(0) + smooth)
     norm = lambda x: (x + 1) / (x + 1).sum(-1, keepdims=True)
-    return Model(norm(counts.start), norm(counts.move), emit, norm(occupied))
+    return Model(norm(counts.start), norm(counts.move), emit)
 
 
-def _batches(pieces: list[np.ndarray], size: int):
-    """Pieces sorted by length, longest first, as (steps, pieces) arrays and how many reach each step."""
+def _batches(pieces: list[np.ndarray], tokens: int):
+    """Pieces sorted by length, longest first, as (steps, pieces) arrays of about so many tokens, and how many pieces reach each step."""
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-    for at in range(0, len(order), size):
-        part = order[at : at + size]
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(1, tokens // len(pieces[order[at]]))]
+        at += len(part)
         lengths = np.array([len(pieces[i]) for i in part])
         ids = np.zeros((lengths[0], len(part)), np.int64)
         for c, i in enumerate(part):
             ids[: lengths[c], c] = pieces[i]
-        yield part, ids, (lengths[:, None] > np.arange(lengths[0])).sum(0)
+        yield np.array(part), ids, (lengths[:, None] > np.arange(lengths[0])).sum(0)
+
+
+def _levelled(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each class's emissions, the largest of them made 1, and the logarithms of what they were divided by."""
+    top = emit.max(1)
+    return emit / top[:, None], np.log10(top)
+
+
+def _carried(pieces: list[np.ndarray], emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the matrix from the state at its first token to that at its last one, with all its emissions, scaled; and log10 of the scale."""
+    states = emit.shape[1]
+    matrices, logs = np.zeros((len(pieces), states, states)), np.zeros(len(pieces))
+    for part, ids, reach in _batches(pieces, TOKENS // states):
+        m = emit[ids[0]][:, :, None] * np.eye(states)
+        for t in range(1, len(ids)):
+            k = reach[t]
+            m[:k] = (m[:k].reshape(-1, states) @ move).reshape(-1, states, states)
+            m[:k] *= emit[ids[t, :k]][:, None, :]
+            if t % SCALED == 0 or t + 1 == len(ids):
+                c = m.max((1, 2))
+                m /= c[:, None, None]
+                logs[part] += np.log10(c)
+        matrices[part] = m
+    return matrices, logs
+
+
+def _edges(model: Model, emit: np.ndarray, pieces: list[np.ndarray], first: np.ndarray, last: np.ndarray):
+    """begins, before, ends: the state weights with which each piece begins, those at the token before it, and the backward weights at its last token."""
+    states = len(model.start)
+    begins, before, ends = np.tile(model.start, (len(pieces), 1)), np.zeros((len(pieces), states)), np.ones((len(pieces), states))
+    some = np.flatnonzero(~(first & last))
+    matrices, _ = _carried([pieces[i] for i in some], emit, model.move)
+    for i, m in zip(some, matrices):
+        if not last[i]:
+            a = begins[i] @ m
+            before[i + 1] = a / a.sum()
+            begins[i + 1] = before[i + 1] @ model.move
+    for i, m in zip(some[::-1], matrices[::-1]):
+        if not first[i]:
+            b = model.move @ (m @ ends[i])
+            ends[i - 1] = b / b.max()
+    return begins, before, ends
 
 
 def expected(model: Model, sequences: list[np.ndarray], total: Model) -> float:
-    """Add the Baum-Welch counts of sequences to total; the natural log likelihood of their pieces."""
-    pieces, first = [], []
-    for s in sequences:
-        for at in range(0, len(s), PIECE):
-            pieces.append(s[at : at + PIECE])
-            first.append(at == 0)
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    """Add the Baum-Welch counts of whole sequences to total; their natural log likelihood."""
+    level, logs = _levelled(model.emit)
+    pieces = [s[at : at + COUNTED] for s in sequences for at in range(0, len(s), COUNTED)]
+    first = np.array([at == 0 for s in sequences for at in range(0, len(s), COUNTED)], bool)
+    last = np.append(first[1:], True) if len(first) else first
+    edges = [x.astype(np.float32) for x in _edges(model, level, pieces, first, last)]
+    emit, move = level.astype(np.float32), model.move.astype(np.float32)
     n, states = emit.shape
     likelihood = 0.0
-    for part, ids, reach in _batches(pieces, 2048):
+    for part, ids, reach in _batches(pieces, TOKENS):
+        begins, before, ends = (x[part] for x in edges)
         steps, width = ids.shape
-        begins = np.where(np.array([first[i] for i in part])[:, None], model.start, model.middle).astype(np.float32)
         alpha = np.zeros((steps, width, states), np.float32)
         scale = np.ones((steps, width), np.float32)
         seen = emit[ids]
         for t in range(steps):
             k = reach[t]
             a = (begins if t == 0 else alpha[t - 1, :k] @ move) * seen[t, :k]
-            scale[t, :k] = c = np.maximum(a.sum(1), 1e-30)
+            scale[t, :k] = c = a.sum(1)
             alpha[t, :k] = a / c[:, None]
+        likelihood += float(np.log(scale, dtype=np.float64).sum() + np.log(10) * logs[ids][np.arange(width) < reach[:, None]].sum())
+        # Backward weights are such that their products with alpha are the states' shares.
         beta = np.ones((width, states), np.float32)
         pairs = np.zeros((states, states))
         for t in range(steps - 1, -1, -1):
-            if t + 1 < steps:
-                k = reach[t + 1]
-                ahead = seen[t + 1, :k] * beta[:k] / scale[t + 1, :k, None]
-                pairs += alpha[t, :k].T @ ahead
-                beta[:k] = ahead @ move.T
-            alpha[t] *= beta  # now the states' shares; zero where the piece has ended
-        likelihood += float(np.log(scale, dtype=np.float64).sum())
+            on = reach[t + 1] if t + 1 < steps else 0
+            if on:
+                pairs += _step(alpha[t, :on], seen[t + 1, :on], beta[:on], move)
+            if on < reach[t]:  # pieces that end here
+                now, b = alpha[t, on : reach[t]], ends[on : reach[t]]
+                beta[on : reach[t]] = b / (now * b).sum(1, keepdims=True)
+            alpha[t] *= beta  # zero where the piece has ended
+        begun = first[part]
+        total.start += alpha[0][begun].sum(0)
+        if not begun.all():
+            pairs += _step(before[~begun], seen[0][~begun], beta[~begun], move)
         total.move += pairs * model.move
-        total.start += alpha[0][np.array([first[i] for i in part])].sum(0)
         flat, weights = ids.ravel(), alpha.reshape(-1, states)
         for s in range(states):
             total.emit[:, s] += np.bincount(flat, weights[:, s], n)
     return likelihood
 
 
-def log10_likelihood(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Exact log10 likelihood of each sequence by the scaled forward recursion.
+def _step(before: np.ndarray, seen: np.ndarray, beta: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Counts of moves over one step, but for the factor move; beta goes back by the step, in place."""
+    ahead = seen * beta
+    back = ahead @ move.T
+    z = (before * back).sum(1, keepdims=True)
+    np.divide(back, z, out=beta)
+    return before.T @ (ahead / z)
 
-    Beyond STRETCH tokens, stretches are carried as matrices from state to state,
-    all together, and then applied in order.
-    """
-    heads = [s[:STRETCH] for s in sequences]
-    emit, move = model.emit, model.move
-    states = emit.shape[1]
-    alphas = np.tile(model.start, (len(sequences), 1))
-    logs = np.zeros(len(sequences))
-    for part, ids, reach in _batches(heads, 2048):
+
+def log10_likelihood(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """Exact log10 likelihood of each sequence by the scaled forward recursion; stretches beyond the first are carried by their matrices."""
+    emit, per_class = _levelled(model.emit)
+    move = model.move
+    alphas, logs = np.zeros((len(sequences), len(model.start))), np.zeros(len(sequences))
+    for part, ids, reach in _batches([s[:STRETCH] for s in sequences], TOKENS):
         a = np.tile(model.start, (len(part), 1))
         scale = np.ones(ids.shape)
         for t in range(len(ids)):
@@ -112,27 +171,12 @@ def log10_likelihood(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
             x = (a[:k] @ move if t else a[:k]) * emit[ids[t, :k]]
             scale[t, :k] = c = x.sum(1)
             a[:k] = x / c[:, None]
-        alphas[part] = a
-        logs[part] = np.log10(scale).sum(0)
-    owners, rest = [], []
-    for i, s in enumerate(sequences):
-        for at in range(STRETCH, len(s), STRETCH):
-            owners.append(i)
-            rest.append(s[at : at + STRETCH])
-    matrices, added = np.zeros((len(rest), states, states)), np.zeros(len(rest))
-    for part, ids, reach in _batches(rest, 512):
-        m = np.tile(np.eye(states), (len(part), 1, 1))
-        scale = np.ones(ids.shape)
-        for t in range(len(ids)):
-            k = reach[t]
-            x = (m[:k] @ move) * emit[ids[t, :k]][:, None, :]
-            scale[t, :k] = c = x.max((1, 2))
-            m[:k] = x / c[:, None, None]
-        matrices[part] = m
-        added[part] = np.log10(scale).sum(0)
-    for i, m, x in zip(owners, matrices, added):
-        a = alphas[i] @ m
+        alphas[part], logs[part] = a, np.log10(scale).sum(0)
+    owners = [i for i, s in enumerate(sequences) for _ in range(STRETCH, len(s), STRETCH)]
+    rest = [s[at : at + STRETCH] for s in sequences for at in range(STRETCH, len(s), STRETCH)]
+    for i, m, x in zip(owners, *_carried(rest, emit, move)):
+        a = alphas[i] @ move @ m
         c = a.sum()
         alphas[i] = a / c
         logs[i] += np.log10(c) + x
-    return logs
+    return logs + np.array([per_class[s].sum() for s in sequences])

@@ -2,10 +2,10 @@
 
 A token's class is the token itself for the FREQUENT most frequent ones, else one
 of BINS by the word's end; the states emit classes, a class emits its words by
-add-one counts. So the model's tables are of fixed size, while words are counted
+add-one counts. So the states' tables are of fixed size, while words are counted
 over the whole corpus and rare ones are looked up by a join in which, as they are
-rare, no key is hot. Baum-Welch rounds run over all training documents; their
-counts are summed across partitions.
+rare, no key is hot. Baum-Welch rounds run over all training documents, each as a
+whole; their counts are summed across partitions.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .tokens import slices
 END = b"\n"
 FREQUENT, BINS = 32_768, 1024
 STATES, ROUNDS = 8, 4
-#: FREQUENT: at most so many words of their own class, down to a common grade of frequency.
+#: Bins of equally frequent words, by hash, of which the last one may be taken in part.
+TIES = 4096
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
 
@@ -79,17 +80,33 @@ class Vocabulary:
         return np.concatenate([np.zeros(own), np.log10(self.counts[own:] + self.bin_words + 1)])
 
 
+def frequent_words(words: DataFrame, most: int) -> list:
+    """The `most` most frequent rows (word, n), all if fewer; equally frequent ones by their hash. Most frequent first.
+
+    How far down they reach is told by three histograms, each over what the one
+    before leaves open: grades of the logarithm, counts, bins of hashes. No more rows
+    than asked for, and one bin, are gathered.
+    """
+    keys = [F.floor(F.log2("n") * 64), F.col("n"), F.pmod(F.xxhash64("word"), F.lit(TIES))]
+    open_, sure, left = F.lit(True), F.lit(False), most
+    for key, falling in zip(keys, (True, True, False)):
+        bound = None
+        for r in sorted(words.where(open_).groupBy(key.alias("k")).count().collect(), key=lambda r: -r.k if falling else r.k):
+            if r["count"] > left:
+                bound = r.k
+                break
+            left -= r["count"]
+        if bound is None:
+            sure = sure | open_
+            break
+        sure, open_ = sure | open_ & ((key > bound) if falling else (key <= bound)), open_ & (key == bound)
+    found = words.where(sure).withColumn("h", F.xxhash64("word")).collect()
+    return sorted(found, key=lambda r: (-r.n, r.h % TIES, r.h, bytes(r.word)))[:most]
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # A histogram over logarithms of the counts tells how far down the FREQUENT words reach; no more than these are gathered.
-    grade = F.floor(F.log2("n") * 64)
-    words, left, least = counts.where(F.col("word") != END), FREQUENT, None
-    for r in sorted(words.groupBy(grade.alias("g")).count().collect(), key=lambda r: -r.g):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r.g
-    top = [] if least is None else sorted(words.where(grade >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
+    top = frequent_words(counts.where(F.col("word") != END), FREQUENT)
     frequent = {bytes(r.word): i + 1 for i, r in enumerate(top)}
     ends = counts.where(F.col("word") == END).collect()
     spark = counts.sparkSession
@@ -150,9 +167,9 @@ def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, rounds:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = shared.value
-            total = hmm.Model(np.zeros(states), np.zeros((states, states)), np.zeros((n, states)), np.zeros(states))
+            total = hmm.empty(n, states)
             for batch in batches:
-                for part in slices(batch, "classes", 1_000_000):
+                for part in slices(batch, "classes", 4_000_000):
                     hmm.expected(now, _sequences(part.column("classes")), total)
             rows = np.concatenate([total.emit, total.move, total.start[None]])
             key = np.flatnonzero(rows.any(1))
@@ -161,7 +178,7 @@ def train(sequences: DataFrame, vocab: Vocabulary, states: int = STATES, rounds:
         found = sequences.select("classes").mapInArrow(run, "key int, " + ", ".join(f"{c} double" for c in names)).groupBy("key").agg(*(F.sum(c).alias(c) for c in names)).orderBy("key").toPandas()
         rows = np.zeros((n + states + 1, states))
         rows[found["key"].to_numpy()] = found[names].to_numpy()
-        model = hmm.reestimated(hmm.Model(rows[-1], rows[n:-1], rows[:n], np.zeros(states)), vocab.counts)
+        model = hmm.reestimated(hmm.Model(rows[-1], rows[n:-1], rows[:n]), vocab.counts)
         shared.unpersist()
     return model
 

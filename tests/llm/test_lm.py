@@ -16,7 +16,7 @@ from . import docs as D
 def model(rng, states=3, classes=7):
     norm = lambda x: x / x.sum(-1, keepdims=True)
     emit = rng.random((classes, states)) + 0.05
-    return hmm.Model(norm(rng.random(states)), norm(rng.random((states, states))), emit / emit.sum(0), norm(rng.random(states)))
+    return hmm.Model(norm(rng.random(states)), norm(rng.random((states, states))), emit / emit.sum(0))
 
 
 def forward(m, seq):
@@ -47,7 +47,7 @@ def test_expected_counts_are_those_of_enumeration():
     rng = np.random.default_rng(2)
     m = model(rng, 2, 4)
     seq = np.array([0, 3, 1, 1, 2])
-    total = hmm.Model(np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), np.zeros(2))
+    total = hmm.empty(4, 2)
     log = hmm.expected(m, [seq], total)
     weight, start, move, emit = 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
     for code in range(32):
@@ -66,18 +66,67 @@ def test_expected_counts_are_those_of_enumeration():
         assert got == pytest.approx(want / weight, rel=1e-4, abs=1e-6)
 
 
+def plain_counts(m, seq):
+    """Forward and backward weights of the whole sequence at once."""
+    n, s = len(seq), len(m.start)
+    a, b = np.zeros((n, s)), np.ones((n, s))
+    a[0] = m.start * m.emit[seq[0]]
+    a[0] /= a[0].sum()
+    for t in range(1, n):
+        a[t] = a[t - 1] @ m.move * m.emit[seq[t]]
+        a[t] /= a[t].sum()
+    for t in range(n - 2, -1, -1):
+        b[t] = m.move @ (m.emit[seq[t + 1]] * b[t + 1])
+        b[t] /= b[t].sum()
+    g = a * b
+    g /= g.sum(1, keepdims=True)
+    out = hmm.empty(*m.emit.shape)
+    out.start += g[0]
+    np.add.at(out.emit, seq, g)
+    for t in range(1, n):
+        x = a[t - 1][:, None] * m.move * (m.emit[seq[t]] * b[t])
+        out.move += x / x.sum()
+    return out
+
+
+@pytest.mark.parametrize("counted", [1, 7, 64, 1024])
+def test_counts_of_long_texts_are_whole(monkeypatch, counted):
+    """No transition is lost where a text is cut, and no context: counts are those of the uncut recursion."""
+    monkeypatch.setattr(hmm, "COUNTED", counted)
+    monkeypatch.setattr(hmm, "TOKENS", 900)
+    rng = np.random.default_rng(6)
+    m = model(rng)
+    seqs = [rng.integers(0, 7, k) for k in (1000, 1, 64, 65, 7, 129, 2500)]
+    got = hmm.empty(7, 3)
+    log = hmm.expected(m, seqs, got)
+    want = [plain_counts(m, s) for s in seqs]
+    assert log == pytest.approx(math.log(10) * sum(forward(m, s) for s in seqs), rel=1e-5)
+    assert got.move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-4)
+    for x in ("start", "move", "emit"):
+        assert getattr(got, x) == pytest.approx(sum(getattr(w, x) for w in want), rel=2e-3, abs=1e-4)
+
+
 def test_rounds_raise_the_likelihood():
     rng = np.random.default_rng(5)
     seqs = [rng.integers(0, 3, 40) + 3 * (i % 2) for i in range(60)]
     counts = np.bincount(np.concatenate(seqs), minlength=6).astype(float)
     m, logs = hmm.initial(counts, 2), []
     for _ in range(6):
-        total = hmm.Model(np.zeros(2), np.zeros((2, 2)), np.zeros((6, 2)), np.zeros(2))
+        total = hmm.empty(6, 2)
         logs.append(hmm.expected(m, seqs, total))
         m = hmm.reestimated(total, counts, 0.01)
     assert all(b > a - 1e-3 for a, b in zip(logs, logs[1:])) and logs[-1] > logs[0] + 100
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 150, 999, 1000, 5000])
+def test_frequent_words_fill_up_to_the_bound(spark, most):
+    rng = np.random.default_rng(8)
+    rows = [(f"w{i}".encode(), int(n)) for i, n in enumerate(rng.zipf(1.5, 1000) % 10**6 + 1)]
+    got = lm.frequent_words(spark.createDataFrame(rows, "word binary, n long"), most)
+    assert [r.n for r in got] == sorted((n for _, n in rows), reverse=True)[:most]
+    assert len({bytes(r.word) for r in got}) == len(got) and {(bytes(r.word), r.n) for r in got} <= set(rows)
+
+
 def base(rows, train):
     split = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w] + [None]
     counts = Counter(w for i, t in rows if train(i) for w in split(t))
