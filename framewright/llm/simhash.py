@@ -2,57 +2,94 @@
 
 Each distinct fingerprint is handled once. Fingerprints are dealt by each of
 budget + 1 blocks of their bits: two that differ in at most `budget` bits agree on
-one block at least. The buckets are binary tries: pairs of nodes are walked
-together from the root, differing bits add up, and a pair ends where its sum
-passes the budget. A bucket gives no more links than members: enough to connect
-what it connects. Buckets too large for one task are walked another exact way
-(`_by_variants`), where no key can have more than 65 fingerprints. Components
-come from star contraction on the links.
+one block at least. Buckets of more than BUCKET fingerprints are dealt again, by
+blocks of the bits that they were not dealt by, until none is larger; the fewer
+bits are left, the fewer fingerprints a bucket can have. The buckets are binary
+tries: pairs of nodes are walked together from the root, differing bits add up,
+and a pair ends where its sum passes the budget. A bucket gives no more links than
+members: enough to connect what it connects. Components come from star
+contraction on the links.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, written
+from .common import cut, join_hot, written
 
 BITS = 64
-#: Members of a bucket that one task walks; larger buckets are linked by variants. It rises with the mean bucket.
-BUCKET = 512
+#: Members of a trie; results don't depend on it.
+BUCKET = 1024
+#: Bytes of text whose words are held at once.
+CHUNK = 1_000_000
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Node pairs that are expanded at once.
 FRONTIER = 500_000
 
 
-def simhash(words: list[bytes], width: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the shingles' XXH64. No words: 0. Fewer words than width: one shingle of all."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of a text's words, in order, CHUNK bytes of text at a time. A-Z are lower-cased, words split at ASCII blanks.
+
+    Fewer words than width: one shingle of all. No words: none.
+    """
     import xxhash
 
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    text, n = b" ".join(words), max(1, len(words) - width + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    last = (ends - 1)[min(width, len(words)) - 1 :].tolist()
-    first = [0, *ends[: n - 1].tolist()]
-    hashes = np.fromiter((digest(text[a:b], seed) for a, b in zip(first, last)), "<u8", n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):
-        counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    digest, data = xxhash.xxh64_intdigest, (text or "").encode().lower()
+    words: list[bytes] = []
+    at, some = 0, False
+    while at < len(data):
+        blank = BLANK.search(data, at + CHUNK) if at + CHUNK < len(data) else None
+        end = blank.start() if blank else len(data)
+        words += data[at:end].split()
+        at = end
+        if len(words) >= width:
+            joined, n = b" ".join(words), len(words) - width + 1
+            ends = np.cumsum([len(w) + 1 for w in words])
+            yield np.fromiter((digest(joined[a:b], seed) for a, b in zip([0, *ends[: n - 1].tolist()], (ends - 1)[width - 1 :].tolist())), np.uint64, n)
+            words, some = words[n:], True
+    if words and not some:
+        yield np.array([digest(b" ".join(words), seed)], np.uint64)
+
+
+class BitCounts:
+    """How many of the hashes added have each bit."""
+
+    def __init__(self):
+        self.n, self.counts = 0, np.zeros(BITS, np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in range(0, len(hashes), 65_536):
+            part = hashes[at : at + 65_536].astype("<u8")
+            self.counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        self.n += len(hashes)
+
+    def fingerprint(self) -> int:
+        """A bit is 1 if over half the hashes have it."""
+        return int.from_bytes(np.packbits(self.counts * 2 > self.n, bitorder="little").tobytes(), "little")
+
+
+def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """A text's fingerprint over its shingles, repeats included; 0 without words."""
+    bits = BitCounts()
+    for hashes in shingle_hashes(text, width, seed):
+        bits.add(hashes)
+    return bits.fingerprint()
 
 
 def fingerprint_of(text: Column, width: int = 3, seed: int = 42) -> Column:
-    """The fingerprint of a text column as a signed long; null counts as empty. A-Z are lower-cased, words split at ASCII blanks."""
+    """The fingerprint of a text column as a signed long; null counts as empty."""
 
     @F.arrow_udf(LongType())
     def of(texts: pa.Array) -> pa.Array:
-        found = (simhash((t.as_py() or "").encode().lower().split(), width, seed) for t in texts)
+        found = (simhash(t.as_py(), width, seed) for t in texts)
         return pa.array(np.fromiter(found, np.uint64, len(texts)).view(np.int64))
 
     return of(text)
@@ -124,20 +161,44 @@ def _hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         x, y = x[apart], y[apart]
 
 
-def _blocks(print_: Column, count: int) -> Column:
-    """The keys under which a fingerprint is dealt: one for each block of its bits."""
-    ends = [BITS * i // count for i in range(count + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(print_, s).bitwiseAND(F.lit(-1 if e - s == BITS else (1 << e - s) - 1)).alias("value")) for i, (s, e) in enumerate(zip(ends, ends[1:]))))
+def _deeper(mask: int, budget: int) -> list[int]:
+    """mask with each of budget + 1 blocks of the other bits added. Prints that agree on mask and differ in budget bits at most agree on one of these."""
+    free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
+    ends = [len(free) * i // (budget + 1) for i in range(budget + 2)]
+    return [mask | sum(1 << b for b in free[s:e]) for s, e in zip(ends, ends[1:])]
+
+
+def _signed(x: int) -> Column:
+    return F.lit(x - (1 << BITS) if x >> BITS - 1 else x).cast("long")
+
+
+def _dealt(prints: DataFrame, budget: int) -> DataFrame:
+    """(key, fp): the buckets, in which all prints within `budget` bits of each other meet."""
+    open_, masks, found = prints.select("fp", F.lit(0).cast("long").alias("mask")), [0], []
+    while True:
+        parts = F.create_map(*(x for m in masks for x in (_signed(m), F.array(*map(_signed, _deeper(m, budget))))))
+        dealt = open_.select("fp", F.explode(parts[F.col("mask")]).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        deeper = [d for m in masks for d in _deeper(m, budget)]
+        masks = sorted(set(deeper))
+        if len(masks) < len(deeper):  # two masks may lead to the same one
+            dealt = dealt.distinct()
+        if BITS - min(m.bit_count() for m in masks) <= budget:  # a bucket has 2 ** budget prints at most
+            found.append(dealt)
+            break
+        large = cut(dealt.groupBy("mask", "value").count().where(F.col("count") > BUCKET).select("mask", "value"))
+        if large.isEmpty():
+            found.append(dealt)
+            break
+        found.append(dealt.join(large, ["mask", "value"], "left_anti"))
+        open_ = written(dealt.join(large, ["mask", "value"], "left_semi").select("fp", "mask"), "large-buckets")
+    # Keys whose hashes are equal share a trie, where links are measured all the same.
+    return functools.reduce(DataFrame.unionByName, (x.select(F.xxhash64("mask", "value").alias("key"), "fp") for x in found))
 
 
 def links(prints: DataFrame, budget: int = 2) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of column `fp` that connect all within `budget` bits (0 to 2), and no others."""
-    if not 0 <= budget <= 2:
-        raise ValueError("budget must be 0, 1 or 2")
-    dealt = prints.select("fp", F.explode(_blocks(F.col("fp"), budget + 1)).alias("k")).select("k.block", "k.value", "fp")
-    sizes = dealt.groupBy("block", "value").count()
-    cap = max(BUCKET, 16 * prints.count() >> BITS // (budget + 1))
-    large = cut(sizes.where(F.col("count") > cap).select("block", "value"))
+    """(a, b): links between the distinct fingerprints of column `fp` that connect all within `budget` bits, and no others."""
+    if not 0 <= budget < BITS:
+        raise ValueError("budget must be a number of bits")
     shards = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -162,31 +223,7 @@ def links(prints: DataFrame, budget: int = 2) -> DataFrame:
         if len(keys):
             yield linked(keys, fps)
 
-    small = dealt
-    some_large = not large.isEmpty()
-    if some_large:
-        small = dealt.join(large, ["block", "value"], "left_anti")
-    key = F.col("value") * (budget + 1) + F.col("block")
-    found = small.select(key.alias("key"), "fp").repartition(shards, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    if some_large:
-        found = found.unionByName(_by_variants(dealt.join(large, ["block", "value"], "left_semi").select("fp").distinct(), budget))
-    return found.distinct()
-
-
-def _by_variants(prints: DataFrame, budget: int) -> DataFrame:
-    """The links among prints, by shared variants: two are within 2 bits if both are within 1 bit of some word.
-
-    A word has 64 neighbours, so a key has 65 fingerprints at most, however close
-    together these lie. With budget 1 a link needs one of the two to be the word
-    itself, with budget 0 there are none.
-    """
-    if budget == 0:
-        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    masks = F.array(F.lit(0).cast("long"), *(F.shiftleft(F.lit(1).cast("long"), i) for i in range(BITS)))
-    near = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("w"))
-    if budget == 1:
-        return near.where("fp <> w").join(prints.withColumnRenamed("fp", "own"), F.col("w") == F.col("own"), "left_semi").select(F.greatest("fp", "w").alias("a"), F.least("fp", "w").alias("b"))
-    return near.groupBy("w").agg(F.sort_array(F.collect_set("fp")).alias("all")).where(F.size("all") > 1).select(F.explode(F.slice("all", 2, BITS + 1)).alias("a"), F.get("all", F.lit(0)).alias("b"))
+    return _dealt(prints, budget).repartition(shards, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,11 +253,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, budget: int
     alone has a null component_id. An empty table gives an empty table.
     """
     prints = written(docs.select("doc_id", fingerprint_of(docs["text"], width, seed).alias("fp")), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), budget))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(member.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    member = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    least = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    found = cut(join_hot(member.select("fp", "n", "root"), least, "root", "size").select("fp", "n", "component_id"))
+    return join_hot(prints, found, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -231,6 +269,7 @@ def keep_first(docs: DataFrame, width: int = 3, seed: int = 42, budget: int = 2)
     """docs with one document of each component: the one with the component's id. Of rows that repeat this id, one stays. Rows without doc_id stay."""
     kept = near_duplicates(docs, width, seed, budget).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     found = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    # Tasks drop repeats before rows move; where the join has dealt rows by doc_id, they don't move again.
-    first = found.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__nth = 1").drop("__nth")
+    # Tasks keep one of repeats before rows move.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = found.groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("__row")).select("__row.*")
     return first.unionByName(docs.where("doc_id IS NULL"))
