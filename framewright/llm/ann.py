@@ -128,15 +128,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     vectors has vec_id and embedding (an array of numbers). A row is no candidate
     of its own; ties go to the smaller vec_id; with fewer candidates than k all are
     returned. Vectors that are null, empty, zero or hold null or non-finite
-    components, and rows without vec_id, take no part. All vectors must be of one
-    length; repeated vec_ids count once a vector. Other columns are ignored.
+    components, and rows without vec_id, take no part; nor do those of another length
+    than most distinct vectors have (of equally many the shorter). Repeated vec_ids
+    count once a vector. Other columns are ignored.
     """
     spark = vectors.sparkSession
     keep = k + 1
     entries = written(_entries(vectors, every, keep), "entries")
-    total = entries.count()
-    if not total:
+    size = F.octet_length("vec")
+    usual = entries.groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    total, entries = usual["count"], entries.where(size == usual["size"])
     # Keys are hashes: those below a bound are a sample of about the size wanted, and no task sends more than its share.
     bound = min((1 << 63) - 1, int(0.97 * SAMPLE / total * (1 << 64)) - (1 << 63))
     drawn = entries.where(F.col("a") <= F.lit(bound)) if total > SAMPLE else entries
