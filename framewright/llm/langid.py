@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import fresh, others
 from .sample import label_sample
 from .tokens import slices
 
@@ -31,9 +32,15 @@ MARGIN_UNIT = 0.02
 
 
 def fit(rows: DataFrame, lang: str = "lang") -> dict[str, bytes]:
-    """Language -> dictionary, from labelled rows (doc_id, text, lang). No labelled rows: no languages."""
+    """Language -> dictionary, from labelled rows (doc_id, text, lang). No labelled rows: no languages.
+
+    Of a drawn text no more is fetched than the dictionary can hold, so the driver's
+    memory depends on the number of languages alone.
+    """
     parts: dict[str, list[bytes]] = {}
-    for r in label_sample(rows, lang, SAMPLE_DOCS):
+    begin = F.greatest(F.floor((F.length("text") - DICTIONARY_BYTES) / 2), F.lit(0)).cast("int") + 1
+    middles = rows.withColumn("text", F.substring(rows["text"], begin, F.lit(DICTIONARY_BYTES)))
+    for r in label_sample(middles, lang, SAMPLE_DOCS):
         parts.setdefault(r.label, []).append(normal(r.text))
     share = {k: max(1, DICTIONARY_BYTES // len(v)) for k, v in parts.items()}
     # Every drawn document gives a share of the dictionary, from its middle; short ones give all that they have.
@@ -77,7 +84,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     Only `text` decides; other columns pass through, own ones of these names are
     replaced. Equal sizes go to the language first in the alphabet.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_margin", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES a language
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -90,5 +96,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], names=["lang_pred", "lang_score", "lang_margin"])
 
     of = F.arrow_udf(run, "lang_pred string, lang_score double, lang_margin double", F.ArrowUDFType.SCALAR_ITER)
-    out = docs.select(*names, of(docs["text"]).alias("_found")).select(*names, "_found.*")
-    return out.withColumn("rejected", F.col("lang_margin") < NARROW)
+    found = fresh("_found", docs)
+    out = docs.select(*others(docs, "lang_pred", "lang_score", "lang_margin", "rejected"), of(docs["text"]).alias(found))
+    return out.select(*others(out, found), f"{found}.*").withColumn("rejected", F.col("lang_margin") < NARROW)

@@ -62,4 +62,4 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
         "text": F.when(F.size(gone_at) == 0, F.col("text")).otherwise(kept),
         "n_lines": F.size("__lines").cast("long"),
         "n_dropped": F.size(gone_at).cast("long"),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    }).select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import others
 from .sample import label_sample
 from .tokens import slices
 
 WIDTH, STEP, FILTERS = 6, 1, 16
-#: Rows drawn a label to fit on, at most.
-SAMPLE_ROWS = 1000
+#: Rows drawn a label to fit on, and bytes of all their texts, at most: bounds of the sample fitted on.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 64_000_000
 EPOCHS, BATCH, RATE = 8, 16, 0.02
 #: Places evaluated at once.
 PLACES = 32_768
@@ -66,12 +67,40 @@ class Network:
             begin = stop
         return best
 
+    def strongest(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter in one padded text, and its first step; PLACES at a time."""
+        every = np.arange(len(self.bias))
+        best, where = np.full(len(every), -np.inf, np.float32), np.zeros(len(every), np.int64)
+        steps = len(data) // STEP - (WIDTH // STEP - 1)
+        for s in range(0, steps, PLACES):
+            found = self.responses(data, s, min(s + PLACES, steps))
+            at = found.argmax(0)
+            better = found[at, every] > best
+            best[better], where[better] = found[at, every][better], s + at[better]
+        return best, where
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         hidden = np.maximum(self.pooled(texts) + self.bias, 0).astype(np.float64)
         z = (hidden * self.weights).sum(axis=1) + self.offset  # row by row: equal texts score alike in any batch
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def gradients(net: Network, offset: float, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss by tables, bias, weights and offset; only the steps of largest response take part."""
+    parts = [places_of([t])[0] for t in texts]
+    found = [net.strongest(data) for data in parts]
+    active = np.stack([best for best, _ in found]) + net.bias
+    hidden = np.maximum(active, 0)
+    p = 1 / (1 + np.exp(-np.clip(hidden @ net.weights + offset, -30, 30)))
+    up = (p - labels) / len(texts)
+    back = np.outer(up, net.weights) * (active > 0)
+    by_table, every = np.zeros_like(net.tables), np.arange(len(net.bias))
+    for r, (data, (_, where)) in enumerate(zip(parts, found)):
+        for j in range(WIDTH):
+            np.add.at(by_table[j], (data[where * STEP + j], every), back[r])
+    return [by_table, back.sum(0), hidden.T @ up, np.array([up.sum()], np.float32)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 5) -> Network:
     """Adam on the mean log loss; then the offset moves from the sample's share of label 1 to prior."""
     rng = np.random.default_rng(seed)
@@ -85,24 +114,8 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 5) -
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
-            pooled = np.empty((len(pick), FILTERS), np.float32)
-            where = np.empty((len(pick), FILTERS), np.int64)
-            parts = []
-            for r, i in enumerate(pick):
-                data, _ = places_of([texts[i]])
-                found = net.responses(data, 0, len(data) // STEP - (WIDTH // STEP - 1))
-                where[r] = found.argmax(0)
-                pooled[r] = found[where[r], np.arange(FILTERS)]
-                parts.append(data)
-            active = pooled + net.bias
-            hidden = np.maximum(active, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ net.weights + offset[0], -30, 30)))
-            up = (p - y[pick]) / len(pick)
-            back = np.outer(up, net.weights) * (active > 0)
-            grads = [np.zeros_like(net.tables), back.sum(0), hidden.T @ up + 1e-4 * net.weights, np.array([up.sum()], np.float32)]
-            for r, data in enumerate(parts):
-                for j in range(WIDTH):
-                    np.add.at(grads[0][j], (data[where[r] * STEP + j], np.arange(FILTERS)), back[r])
+            grads = gradients(net, float(offset[0]), [texts[i] for i in pick], y[pick])
+            grads[2] = grads[2] + 1e-4 * net.weights
             step += 1
             rate = RATE * (1 - epoch / EPOCHS * 0.8)
             for q, g, (m, v) in zip(params, grads, moments):
@@ -115,14 +128,15 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 5) -
     return net
 
 
-def fit(rows: DataFrame, label: str = "quality", per_label: int = SAMPLE_ROWS) -> Network:
+def fit(rows: DataFrame, label: str = "quality", per_label: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Network:
     """A network for labelled rows (doc_id, text, 0/1 label). Labels' shares are those of all rows, not of the sample.
 
-    Without rows of both labels, scores are the share of label 1 (0.5 without any).
+    Without drawn rows of both labels, scores are the share of label 1 (0.5 without
+    any). Texts too long for max_bytes are not fitted on; all texts are scored.
     """
     shares = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     prior = shares.get(1, 0) / (sum(shares.values()) or 1) if shares else 0.5
-    drawn = label_sample(rows, label, per_label)
+    drawn = label_sample(rows, label, per_label, max_bytes)
     if len({r.label for r in drawn}) < 2:
         prior = min(max(prior, 1e-3), 1 - 1e-3)
         return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), float(np.log(prior / (1 - prior))))
@@ -131,7 +145,6 @@ def fit(rows: DataFrame, label: str = "quality", per_label: int = SAMPLE_ROWS) -
 
 def score(docs: DataFrame, net: Network, name: str = "quality_score") -> DataFrame:
     """docs with the probability of label 1 of each whole text. Null texts count as empty; a column of this name is replaced."""
-    names = [c for c in docs.columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast((net.tables, net.bias, net.weights, net.offset))  # of fixed size
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -143,4 +156,4 @@ def score(docs: DataFrame, net: Network, name: str = "quality_score") -> DataFra
             yield pa.array(np.concatenate(found), pa.float64())
 
     of = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.select(*names, of(docs["text"]).alias(name))
+    return docs.select(*others(docs, name), of(docs["text"]).alias(name))

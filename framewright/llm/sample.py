@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def label_sample(rows: DataFrame, label: str, per_label: int) -> list:
+def label_sample(rows: DataFrame, label: str, per_label: int, max_bytes: int | None = None) -> list:
     """At most per_label rows (label, text) of each label value, drawn by the hash of doc_id.
 
     Hash values are dealt into per_label bins a label and the least of each bin is
     taken: a few numbers a bin are gathered, whatever the table's size, and only
     the rows chosen are then fetched. Null labels and null texts are never drawn;
-    of rows that share an id and a label, the first text by order is drawn.
+    of rows that share an id and a label, the shortest text, then the first by
+    order, is drawn. With max_bytes, each label has an equal share of them: rows
+    are taken in the order of their hashes, and those that don't fit into what is
+    left of the share are passed over. Labels must be few: the driver holds a row
+    for each bin of each.
     """
     h = F.xxhash64("doc_id")
     usable = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("label"), "text")
-    chosen = usable.groupBy("label", F.pmod(h, F.lit(per_label)).alias("bin")).agg(F.min(h).alias("h")).select("h").distinct()
-    wanted = [r.h for r in chosen.collect()]
+    least = F.min(F.struct(h.alias("h"), F.octet_length("text").alias("bytes")))
+    chosen = sorted(usable.groupBy("label", F.pmod(h, F.lit(per_label)).alias("bin")).agg(least.alias("least")).select("label", "least.*").collect(), key=lambda r: (str(r.label), r.h))
+    left = {r.label: math.inf if max_bytes is None else max_bytes // len({c.label for c in chosen}) for r in chosen}
+    wanted = []
+    for r in chosen:
+        if r.bytes <= left[r.label]:
+            left[r.label] -= r.bytes
+            wanted.append((r.label, r.h))
     if not wanted:
         return []
-    drawn = usable.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in wanted], "h long")), h == F.col("h"), "left_semi")
-    return drawn.groupBy("label", "doc_id").agg(F.min("text").alias("text")).orderBy(h, "label").collect()
+    keys = F.broadcast(rows.sparkSession.createDataFrame(wanted, usable.select("label", h.alias("h")).schema))
+    drawn = usable.withColumn("h", h).join(keys, ["label", "h"], "left_semi")
+    return drawn.groupBy("label", "doc_id").agg(F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).orderBy(h, "label").collect()
