@@ -1,14 +1,20 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of GRAM bytes is hashed; of each WINDOW hashes in a row the least is
-chosen, the rightmost of equal ones; what is chosen is kept with its position. So
-any run of GRAM + WINDOW - 1 equal bytes in two texts gives them a common print.
-Texts are cut into overlapping pieces first, so that a row's memory doesn't grow
-with its text.
+Every run of GRAM bytes has a rolling hash: the exclusive or of its bytes' own
+hashes, each turned left by one bit more than the next one's (a cyclic polynomial),
+so the hash of a run is that of its two parts, the first turned by the length of the second. Columns
+have no running state; all runs are rolled together by doubling, from 1 byte to 2,
+4, 8 and 16, with the values that byte-by-byte rolling gives. Of each WINDOW hashes
+in a row the least is chosen, the rightmost of equal ones; what is chosen is kept
+with its position. So any run of GRAM + WINDOW - 1 equal bytes in two texts gives
+them a common print. Texts are cut into overlapping pieces first, so that a row's
+memory doesn't grow with its text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import text_of
@@ -17,6 +23,29 @@ GRAM, WINDOW = 16, 32
 #: Windows of one piece, and windows looked at together (fewer than WINDOW).
 PIECE, STEP = 4096, 4
 LEAST = -(1 << 63)
+#: Ranges that documents are dealt to, at most; their bounds are part of the plan.
+RANGES = 10_000
+
+
+def _turned(h: Column, bits: int) -> Column:
+    return F.shiftleft(h, bits % 64).bitwiseOR(F.shiftrightunsigned(h, 64 - bits % 64)) if bits % 64 else h
+
+
+def rolling(data: Column, gram: int) -> Column:
+    """The rolling hashes of all runs of gram bytes of a binary column; of shorter data one, as if void bytes followed."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  as a lambda's variable, a value is not made anew for each place
+    places = lambda count, f: F.transform(F.sequence(F.lit(0), count - 1), f)
+
+    def longer(h: Column, n: int, bytes_: Column) -> Column:
+        """From the hashes of runs of n bytes: twice as long while that is not too long, then longer by a byte."""
+        if n == gram:
+            return h
+        tail, m = (h, n) if 2 * n <= gram else (bytes_, 1)
+        both = places(F.size(bytes_) - (n + m - 1), lambda i: _turned(F.get(h, i), m).bitwiseXOR(F.get(tail, i + n)))
+        return once(both, lambda x: longer(x, n + m, bytes_))
+
+    size = F.greatest(F.octet_length(data), F.lit(gram))
+    return once(data, lambda b: once(places(size, lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(1)))), lambda s: longer(s, 1, s)))
 
 
 def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str] = (), gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -35,10 +64,7 @@ def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str
         rows.select(*keys, F.struct(F.lit(1).alias("_"), *carried).alias("_c"), data.alias("_data")).select("*", F.explode(places).alias("_at"))
         .select(*keys, F.when(head, F.col("_c")).alias("_c"), "_at", F.substring(F.get("_data", F.col("_at.text")), F.col("_at.start") + 1, F.lit(PIECE + gram + window - 2)).alias("_bytes"))
     )
-    # As a lambda's variable, the bytes are not copied for each place.
-    last = F.greatest(F.octet_length("_bytes") - gram, F.lit(0))
-    hashes = F.get(F.transform(F.array("_bytes"), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(gram))))), F.lit(0))
-    hashed = pieces.select(*keys, "_c", "_at", hashes.alias("_h"))
+    hashed = pieces.select(*keys, "_c", "_at", rolling(F.col("_bytes"), gram).alias("_h"))
     # STEP windows at a time. Where the least hash that all of them and the window before hold is below all others,
     # they choose what that one chose; only the other windows are looked at one by one. Plain least() over places
     # stays in generated code.
@@ -77,25 +103,59 @@ def as_text(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda p: F.concat_ws(":", F.hex(p["hash"]), F.hex(p["pos"]))), " ")
 
 
-def _ranges(docs: DataFrame, key: Column) -> tuple[list[int], int]:
-    """Bounds, all of them keys of the table, that cut its keys into ranges of like numbers of rows; and the least key."""
-    wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, low = docs.agg(F.count("*"), F.min(key)).first()
-    count = max(2, min(rows, max(wanted, rows // 20_000)))
-    found = docs.agg(F.percentile_approx(key, [i / count for i in range(1, count)], 10_000 + 20 * count)).first()[0]
-    return sorted({x for x in found or [] if x > low}), low
+def _beginning(text: Column) -> Column:
+    """A text's first 7 bytes as a number, which rises with the text."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
 
+def _ranges(rows: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int]]:
+    """Bounds (_key, _sub), all of them of rows, that cut rows into ranges of like numbers; and the least (_key, _sub).
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are not above key, found in two steps of about the root of their number."""
+    A bound's _sub is LEAST unless several bounds would fall on its _key, as they do
+    where many rows share a doc_id or have none: such keys are cut by _sub as well.
+    """
+    wanted = min(RANGES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    count, low = rows.agg(F.count("*"), F.min("_key")).first()
+    parts = lambda n: [i / n for i in range(1, n)]
+    n = max(2, min(count, wanted))
+    found = Counter(rows.agg(F.percentile_approx("_key", parts(n), 10_000 + 20 * n)).first()[0] or [])
+    hot = {k: times for k, times in found.items() if times > 1}
+    bounds, first = [(k, LEAST) for k in found if k not in hot and k > low], (low, LEAST)
+    if hot:
+        subs = rows.where(F.col("_key").isin(*hot)).groupBy("_key").agg(F.min("_sub").alias("least"), F.percentile_approx("_sub", parts(n), 10_000 + 20 * n).alias("at"))
+        for r in subs.collect():
+            # Of n quantiles as many as bounds fell on the key.
+            some = {r["at"][i * (n - 1) // hot[r["_key"]]] for i in range(hot[r["_key"]])} if r["at"] else set()
+            bounds += [(r["_key"], s) for s in some | {r["least"]} if (r["_key"], s) != (low, r["least"])]
+            if r["_key"] == low:
+                first = (low, r["least"])
+    return sorted(bounds), first
+
+
+def _place(at: tuple[int, int]) -> Column:
+    return F.struct(F.lit(at[0]).cast("long").alias("key"), F.lit(at[1]).cast("long").alias("sub"))
+
+
+def _range_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are not above place, found in two steps of about the root of their number."""
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    coarse = upto(longs(g[0] for g in groups))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.get(F.array(*map(longs, groups)), coarse - 1)))
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= place))
+    coarse = upto(F.array(*(_place(g[0]) for g in groups)))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.get(F.array(*(F.array(*map(_place, g)) for g in groups)), coarse - 1)))
+
+
+def _stands_at(bounds: list[tuple[int, int]]) -> Column:
+    """Is the row the first of one of these ranges, or does it share that one's doc_id (its beginning, too, where ids are cut by it)?"""
+    whole, cut = [k for k, s in bounds if s == LEAST], [b for b in bounds if b[1] != LEAST]
+    found = F.lit(False)
+    if whole:
+        found = found | F.col("_key").isin(*whole)
+    if cut:
+        found = found | F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub")).isin(*map(_place, cut))
+    return found
 
 
 def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -106,14 +166,18 @@ def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     their text. A row alone is its own next. An empty table gives an empty table.
 
     Texts are dealt once, by ranges of doc_id; each range also gets the first row
-    of the next, so that no row's neighbour is elsewhere.
+    of the next, so that no row's neighbour is elsewhere. Where many rows share a
+    doc_id or have none, ranges go by the beginning of the text as well; a range
+    holds all rows that are alike in both.
     """
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST))
-    bounds, low = _ranges(docs, key)
-    own = _range_of(key, bounds)
-    before = [own, *([F.when(key.isin(*bounds), own - 1)] if bounds else []), F.when(key == F.lit(low), F.lit(len(bounds)))]
-    places = F.concat(F.array(F.struct(before[0].alias("range"), F.lit(False).alias("guest"))), *(F.when(b.isNotNull(), F.array(F.struct(b.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<range:int,guest:boolean>>")) for b in before[1:]))
-    dealt = docs.select(F.col("doc_id"), key.alias("_key"), text_of(docs).alias("text"), F.explode(places).alias("_p")).select("doc_id", "_key", "text", "_p.range", "_p.guest")
+    rows = docs.select("doc_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(LEAST)).alias("_key"), text_of(docs).alias("text"))
+    rows = rows.withColumn("_sub", _beginning(F.col("text")))
+    bounds, first = _ranges(rows)
+    own = F.col("_own")
+    guest = lambda where, at: F.when(where, F.array(F.struct(at.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<range:int,guest:boolean>>"))
+    places = F.concat(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest"))), guest(_stands_at(bounds), own - 1), guest(_stands_at([first]), F.lit(len(bounds))))
+    ranged = rows.withColumn("_own", _range_of(F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub")), bounds))
+    dealt = ranged.select("doc_id", "_key", "text", F.explode(places).alias("_p")).select("doc_id", "_key", "text", "_p.range", "_p.guest")
     order = Window.partitionBy("range").orderBy("guest", "_key", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     rows = dealt.select("*", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("_next"))

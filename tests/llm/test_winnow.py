@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -21,15 +22,22 @@ def brute(hashes, window=W):
     return sorted(out)
 
 
-def grams(spark, text, gram=G):
+def grams(text, gram=G):
+    """The rolling hash, byte by byte: turned by a bit, the byte that leaves taken out, the next one put in."""
     data = text.encode()
-    runs = [bytearray(data[i : i + gram]) for i in range(max(1, len(data) - gram + 1))]
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "i int, b binary").select("i", F.xxhash64("b").alias("h")).collect()
-    return [r.h for r in sorted(rows)]
+    data = [data[i : i + 1] for i in range(max(len(data), gram))]
+    own = [xxhash.xxh64_intdigest(b, 42) for b in data]
+    turn = lambda h, n: (h << n % 64 | h >> 64 - n % 64) % (1 << 64)
+    h, out = 0, []
+    for i, x in enumerate(own):
+        h = turn(h, 1) ^ x ^ (turn(own[i - gram], gram) if i >= gram else 0)
+        if i >= gram - 1:
+            out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
-def check(spark, text, prints):
-    h = grams(spark, text)
+def check(text, prints):
+    h = grams(text)
     assert [(p["pos"], p["hash"]) for p in prints] == [(i, h[i]) for i in brute(h)]
 
 
@@ -37,7 +45,7 @@ def check(spark, text, prints):
 def test_chosen_are_the_least_of_every_window(spark, text):
     rows = winnow.chosen(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], ["t"]).collect()
     assert len(rows) == 1
-    check(spark, text, rows[0].t_prints)
+    check(text, rows[0].t_prints)
 
 
 def test_common_runs_share_a_print(spark):
@@ -84,6 +92,23 @@ def test_awkward(spark):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+@pytest.mark.parametrize("gram", [1, 2, 3, 7, 16, 21])
+def test_rolling_hashes(spark, gram):
+    texts = ["", "a", "ab", "the cat sat on the mat", "é漢🙂" * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", winnow.rolling(F.col("t").cast("binary"), gram).alias("h")).collect():
+        assert r.h == grams(r.t, gram)
+
+
+def test_many_rows_without_id_are_cut_by_their_beginnings(spark):
+    rows = [(None, f"{i * 7919 % 1000:03d} some text {i}") for i in range(300)] + [(i, f"text {i}") for i in range(20)] + [(7, f"more {i}") for i in range(60)] + [(None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.coalesce("doc_id", F.lit(winnow.LEAST)).alias("_key"), winnow._beginning(F.coalesce("text", F.lit(""))).alias("_sub"))
+    bounds, first = winnow._ranges(keyed)
+    assert sum(k == winnow.LEAST for k, _ in bounds) > 5 and sum(k == 7 for k, _ in bounds) > 1 and first == (winnow.LEAST, 0)
+    verify(winnow.with_neighbours(df).collect(), rows)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     verify(winnow.with_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), rows)
@@ -100,7 +125,8 @@ def test_query(spark, sf_dir):
 def test_ranges(spark_ranges, bounds):
     bounds = sorted(bounds)
     keys = sorted({b + d for b in bounds for d in (-1, 0, 1)} | {0})
-    rows = spark_ranges.createDataFrame([(k,) for k in keys], "k long").select("k", winnow._range_of(F.col("k"), bounds).alias("r")).collect()
+    place = F.struct(F.col("k").alias("key"), F.lit(5).cast("long").alias("sub"))
+    rows = spark_ranges.createDataFrame([(k,) for k in keys], "k long").select("k", winnow._range_of(place, [(b, winnow.LEAST) for b in bounds]).alias("r")).collect()
     assert all(r.r == sum(b <= r.k for b in bounds) for r in rows)
 
 
