@@ -18,29 +18,34 @@ from framewright.llm.common import table, written
 QUALITY = 0.3
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row in one column, so that no operator's own columns meet others of the same name."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.score(docs, queries.quality_network(spark, sf_dir), "_score")
-    return scored.where(F.col("_score") >= QUALITY).select(*docs.columns)
+    scored = quality.score(carried(docs), queries.quality_network(spark, sf_dir), "score")
+    return scored.where(F.col("score") >= QUALITY).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with a narrow margin, go."""
-    found = langid.identify(docs, queries.language_dictionaries(spark, sf_dir))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.identify(carried(docs), queries.language_dictionaries(spark, sf_dir))
+    return found.where(~F.col("rejected")).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go, everywhere; n_chars follows the text."""
-    out = line_dedup.drop_frequent_lines(docs, min_docs=10)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = line_dedup.drop_frequent_lines(carried(docs), min_docs=10)
+    cut = F.col("n_dropped") > 0
+    now = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id. Links: 0.8 or more of the 5-word shingles shared."""
-    return resemblance.keep_first(docs)
+    return resemblance.keep_first(carried(docs)).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
