@@ -104,32 +104,34 @@ def as_text(prints: Column) -> Column:
 
 
 def _beginning(text: Column) -> Column:
-    """A text's first 7 bytes as a number, which rises with the text."""
-    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    """A text's first 6 bytes as a number, which rises with the text."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
 
 
-def _ranges(rows: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int]]:
-    """Bounds (_key, _sub), all of them of rows, that cut rows into ranges of like numbers; and the least (_key, _sub).
+def _ranges(rows: DataFrame) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+    """Bounds that cut rows into ranges of like numbers, each the least (_key, _sub) of its range; and the least of all.
 
-    A bound's _sub is LEAST unless several bounds would fall on its _key, as they do
-    where many rows share a doc_id or have none: such keys are cut by _sub as well.
+    Keys on which several quantiles fall, as they do where many rows share a doc_id
+    or have none, are cut by quantiles of _sub as well. Quantiles are rounded; the
+    bounds are what the rows that they part really begin with.
     """
     wanted = min(RANGES, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    count, low = rows.agg(F.count("*"), F.min("_key")).first()
-    parts = lambda n: [i / n for i in range(1, n)]
+    count = rows.count()
     n = max(2, min(count, wanted))
-    found = Counter(rows.agg(F.percentile_approx("_key", parts(n), 10_000 + 20 * n)).first()[0] or [])
+    parts, fine = [i / n for i in range(1, n)], 10_000 + 20 * n
+    found = Counter(rows.agg(F.percentile_approx("_key", parts, fine)).first()[0] or [])
     hot = {k: times for k, times in found.items() if times > 1}
-    bounds, first = [(k, LEAST) for k in found if k not in hot and k > low], (low, LEAST)
+    about = [(k, LEAST) for k in found]
     if hot:
-        subs = rows.where(F.col("_key").isin(*hot)).groupBy("_key").agg(F.min("_sub").alias("least"), F.percentile_approx("_sub", parts(n), 10_000 + 20 * n).alias("at"))
-        for r in subs.collect():
-            # Of n quantiles as many as bounds fell on the key.
-            some = {r["at"][i * (n - 1) // hot[r["_key"]]] for i in range(hot[r["_key"]])} if r["at"] else set()
-            bounds += [(r["_key"], s) for s in some | {r["least"]} if (r["_key"], s) != (low, r["least"])]
-            if r["_key"] == low:
-                first = (low, r["least"])
-    return sorted(bounds), first
+        for r in rows.where(F.col("_key").isin(*hot)).groupBy("_key").agg(F.percentile_approx("_sub", parts, fine).alias("at")).collect():
+            about += [(r["_key"], r["at"][i * (n - 1) // hot[r["_key"]]]) for i in range(hot[r["_key"]])]  # as many as quantiles fell on the key
+    begins = rows.groupBy(_range_of(_own_place(), sorted(set(about))).alias("range")).agg(F.min(_own_place()).alias("at")).collect()
+    bounds = sorted((r["at"]["key"], r["at"]["sub"]) for r in begins)
+    return bounds[1:], bounds[0] if bounds else None
+
+
+def _own_place() -> Column:
+    return F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub"))
 
 
 def _place(at: tuple[int, int]) -> Column:
@@ -147,17 +149,6 @@ def _range_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.get(F.array(*(F.array(*map(_place, g)) for g in groups)), coarse - 1)))
 
 
-def _stands_at(bounds: list[tuple[int, int]]) -> Column:
-    """Is the row the first of one of these ranges, or does it share that one's doc_id (its beginning, too, where ids are cut by it)?"""
-    whole, cut = [k for k, s in bounds if s == LEAST], [b for b in bounds if b[1] != LEAST]
-    found = F.lit(False)
-    if whole:
-        found = found | F.col("_key").isin(*whole)
-    if cut:
-        found = found | F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub")).isin(*map(_place, cut))
-    return found
-
-
 def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """doc_id, n_chars, edited_sha256, prints, edited_prints, near_edited, near_next for every row of docs.
 
@@ -175,8 +166,8 @@ def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     bounds, first = _ranges(rows)
     own = F.col("_own")
     guest = lambda where, at: F.when(where, F.array(F.struct(at.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<range:int,guest:boolean>>"))
-    places = F.concat(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest"))), guest(_stands_at(bounds), own - 1), guest(_stands_at([first]), F.lit(len(bounds))))
-    ranged = rows.withColumn("_own", _range_of(F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub")), bounds))
+    places = F.concat(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest"))), guest(_own_place().isin(*map(_place, bounds)) if bounds else F.lit(False), own - 1), guest(_own_place() == _place(first) if first else F.lit(False), F.lit(len(bounds))))
+    ranged = rows.withColumn("_own", _range_of(_own_place(), bounds))
     dealt = ranged.select("doc_id", "_key", "text", F.explode(places).alias("_p")).select("doc_id", "_key", "text", "_p.range", "_p.guest")
     order = Window.partitionBy("range").orderBy("guest", "_key", "text")
     half = F.floor(F.length("text") / 2).cast("int")

@@ -101,14 +101,20 @@ def test_rolling_hashes(spark, gram):
 
 
 def test_many_rows_without_id_are_cut_by_their_beginnings(spark):
-    rows = [(None, f"{i * 7919 % 1000:03d} some text {i}") for i in range(300)] + [(i, f"text {i}") for i in range(20)] + [(7, f"more {i}") for i in range(60)] + [(None, ""), (None, None)]
+    rows = [(None, f"{i * 7919 % 1000:03d} some text " + "x" * i) for i in range(300)] + [(i, f"text {i}") for i in range(20)] + [(7, f"more {i} " + "y" * i) for i in range(60)] + [(None, ""), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keyed = df.select(F.coalesce("doc_id", F.lit(winnow.LEAST)).alias("_key"), winnow._beginning(F.coalesce("text", F.lit(""))).alias("_sub"))
     bounds, first = winnow._ranges(keyed)
     assert sum(k == winnow.LEAST for k, _ in bounds) > 5 and sum(k == 7 for k, _ in bounds) > 1 and first == (winnow.LEAST, 0)
+    assert {tuple(r) for r in keyed.collect()} >= set(bounds)
     verify(winnow.with_neighbours(df).collect(), rows)
 
 
+def test_ids_beyond_the_exact_range_of_doubles(spark):
+    rows = [((1 << 62) + i, f"text {i}" * 5) for i in range(200)]
+    verify(winnow.with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     verify(winnow.with_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), rows)
