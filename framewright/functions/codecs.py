@@ -14,7 +14,7 @@ AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 1200
 MP3_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 MP3_KBPS_V1_L3 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 MP3_KBPS_V2_L3 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
-H264_PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4"}
+H264_PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4 Predictive"}
 
 
 def _pick(values, index: Column) -> Column:
@@ -98,7 +98,7 @@ def profile_name(profile: Column) -> Column:
     out = F
     for k, v in H264_PROFILES.items():
         out = out.when(profile == k, v)
-    return out.otherwise(F.concat(F.lit("Profile "), profile.cast("string")))
+    return out.otherwise(F.format_string("Profile(%d)", profile))
 
 
 def level_name(level: Column) -> Column:

@@ -34,10 +34,30 @@ def query_map(text: Column) -> Column:
     return F.map_from_entries(F.transform(first, lambda p: F.struct(p["k"], p["v"])))
 
 
+def clean_path(p: Column) -> Column:
+    """A path without empty and `.` steps; `..` takes away the step before it."""
+    steps = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(steps, "/"))
+
+
+def stream_parts(p: Column) -> Column:
+    """struct(app, key, format) of /app/key.format, null unless all three are there. The key may have steps; the format follows the last dot."""
+    bare = clean_path(p)
+    pick = lambda n: F.regexp_extract(bare, r"^/([^/]+)/(.+)\.([^.]+)$", n)
+    return F.when(pick(1) != "", F.struct(pick(1).alias("app"), pick(2).alias("key"), pick(3).alias("format")))
+
+
 def stream_path(p: Column) -> Column:
-    """app/name of /app/name.ext; null unless both are there."""
-    found = F.regexp_extract(p, r"^/([^/]+/[^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
-    return F.when(found != "", found)
+    """app/key of /app/key.format; null unless all three are there."""
+    found = stream_parts(p)
+    return F.when(found.isNotNull(), F.concat_ws("/", found["app"], found["key"]))
+
+
+def segment_parts(p: Column) -> Column:
+    """struct(app, key, name, ext) of /app/key/name.ext, null unless all four are there."""
+    bare = clean_path(p)
+    pick = lambda n: F.regexp_extract(bare, r"^/([^/]+)/([^/]+)/(.+)\.([^.]+)$", n)
+    return F.when(pick(1) != "", F.struct(pick(1).alias("app"), pick(2).alias("key"), pick(3).alias("name"), pick(4).alias("ext")))
 
 
 def segment_number(p: Column) -> Column:
@@ -47,19 +67,26 @@ def segment_number(p: Column) -> Column:
 
 
 def srt_stream_id(text: Column) -> Column:
-    """struct(mode, key) of the three forms: #!::r=key,m=publish; publish:key; and a plain key (subscribe). Queries are cut off."""
-    bare = F.regexp_replace(text, r"\?.*$", "")
-    listed = F.str_to_map(F.regexp_replace(bare, "^#!::", ""), F.lit(","), F.lit("="))
-    mode = F.when(F.startswith(bare, F.lit("#!::")), F.when(F.get(F.map_values(F.map_filter(listed, lambda k, v: k == "m")), F.lit(0)) == "publish", "publish").otherwise("subscribe")).when(F.startswith(bare, F.lit("publish:")), "publish").otherwise("subscribe")
-    key = F.when(F.startswith(bare, F.lit("#!::")), F.coalesce(F.get(F.map_values(F.map_filter(listed, lambda k, v: k == "r")), F.lit(0)), F.lit(""))).otherwise(F.regexp_replace(bare, "^(publish|subscribe|play|read):", ""))
-    return F.struct(mode.alias("mode"), F.regexp_replace(key, "^/", "").alias("key"))
+    """struct(mode, key) of the forms publish:key, subscribe:key, #!::r=key,m=mode (any mode; of repeated fields the last counts) and a plain key, which subscribes.
+
+    A key's query and its first slash are cut off; a list without mode subscribes.
+    """
+    fields = F.filter(F.split(F.substring(text, 5, 1 << 30), ","), lambda x: F.contains(x, F.lit("=")))
+    last = lambda name: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(fields, lambda x: F.startswith(x, F.lit(f"{name}="))), lambda x: F.substring(x, len(name) + 2, 1 << 30))), -1)
+    listed = F.startswith(text, F.lit("#!::"))
+    prefix = F.regexp_extract(text, "^(publish|subscribe):", 1)
+    mode = F.when(listed, F.when(last("m") == "", "subscribe").otherwise(last("m"))).when(prefix == "publish", "publish").otherwise("subscribe")
+    key = F.when(listed, last("r")).otherwise(F.regexp_replace(text, "^(publish|subscribe):", ""))
+    return F.struct(mode.alias("mode"), F.regexp_replace(F.regexp_replace(key, r"[?#].*$", ""), "^/", "").alias("key"))
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of 10, 10KB, 1.5MB, 2GB by powers of 1024; null for anything else."""
-    n = F.regexp_extract(text, r"^\s*(\d+)\s*(?:[KMG]?B)?\s*$", 1)
-    unit = F.regexp_extract(F.upper(text), r"([KMG]?B)\s*$", 1)
-    return F.when(n != "", n.cast("bigint") * F.when(unit == "KB", 1024).when(unit == "MB", 1 << 20).when(unit == "GB", 1 << 30).otherwise(1))
+    """Bytes of 10, 10KB, 10 mb, 2GB by powers of 1024, in either case; of 1.5MB the whole number before the dot counts. Null where there is no number above 0."""
+    t = F.upper(F.trim(text))
+    unit = F.regexp_extract(t, r"([KMG]?B)$", 1)
+    n = F.regexp_extract(t, r"^([+]?\d{1,18})", 1)
+    scale = F.when(unit == "KB", 1 << 10).when(unit == "MB", 1 << 20).when(unit == "GB", 1 << 30).otherwise(1).cast("bigint")
+    return F.when(n != "", F.nullif(n.cast("bigint") * scale, F.lit(0)))
 
 
 def recording_path(template: str, key: Column, at: Column) -> Column:
@@ -77,13 +104,12 @@ def glob_match(glob: str, key: Column) -> Column:
 
 
 def ptz(pan: Column, tilt: Column, zoom: Column, speed: int = 0x40) -> Column:
-    """The 8-byte PTZ command in hex: A5 0F 01, direction bits, speeds, checksum."""
-    bits = F.when(pan > 0, 1).when(pan < 0, 2).otherwise(0) + F.when(tilt > 0, 8).when(tilt < 0, 4).otherwise(0) + F.when(zoom > 0, 16).when(zoom < 0, 32).otherwise(0)
-    h = F.when(pan != 0, speed).otherwise(0)
-    v = F.when(tilt != 0, speed).otherwise(0)
-    z = F.when(zoom != 0, 0x10).otherwise(0)
-    total = F.pmod(F.lit(0xA5 + 0x0F + 0x01) + bits + h + v + z, F.lit(256))
-    return F.format_string("A50F01%02X%02X%02X%02X%02X", bits, h, v, z, total)
+    """The 8-byte PTZ command in hex: A5 0F 01, direction bits, zoom bits, speeds across and up, checksum. Right, up and in are above 0."""
+    direction = F.when(pan > 0, 1).when(pan < 0, 2).otherwise(0) + F.when(tilt > 0, 8).when(tilt < 0, 4).otherwise(0)
+    zooming = F.when(zoom > 0, 0x10).when(zoom < 0, 0x20).otherwise(0)
+    h, v = F.when(pan != 0, speed).otherwise(0), F.when(tilt != 0, speed).otherwise(0)
+    total = F.pmod(F.lit(0xA5 + 0x0F + 0x01) + direction + zooming + h + v, F.lit(256))
+    return F.format_string("A50F01%02X%02X%02X%02X%02X", direction, zooming, h, v, total)
 
 
 def ntp_time(micros: Column) -> Column:

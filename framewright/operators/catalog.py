@@ -60,11 +60,11 @@ def playback(orders: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def codec_matrix(spark) -> DataFrame:
-    """Which audio codec can be made of which: a decoder for one, an encoder for the other, or the same."""
+    """Which audio codec can be made of which: a decoder for one and an encoder for the other."""
     audio = codecs(spark).where("media = 'audio'")
     a, b = audio.select(F.col("codec").alias("source")), audio.select(F.col("codec").alias("target"))
-    can = (F.col("source") == F.col("target")) | (F.col("source").isin(*DECODERS) & F.col("target").isin(*ENCODERS))
-    return a.join(F.broadcast(b), F.lit(True)).select("source", "target", can.alias("possible"))  # seven rows each
+    can = F.col("source").isin(*DECODERS) & F.col("target").isin(*ENCODERS)
+    return a.join(F.broadcast(b), F.lit(True)).select("source", "target", can.alias("possible"))  # eight rows each
 
 
 def topology_paths(region: DataFrame, nation: DataFrame) -> DataFrame:
@@ -152,15 +152,27 @@ def prometheus(events: DataFrame) -> DataFrame:
     return rows.unpivot("user_id", ["events_total", "errors_total", "last_event"], "metric", "sample")
 
 
+#: Numbers of events that a block of `admission` spans.
+ADMITTED = 10_000
+
+
 def admission(events: DataFrame, most: int) -> DataFrame:
-    """Signups beyond the limit of streams that are open (signup +1, purchase -1, never below 0) are refused, per day."""
-    day = F.to_date("ts")
+    """Signups beyond the limit of streams that are open (signup +1, purchase -1, never below 0) are refused, per day.
+
+    Each block of event numbers is summed by itself; a day's blocks, few rows, then
+    give what each begins with.
+    """
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1)
-    by = Window.partitionBy("day").orderBy("event_id")
-    rows = events.where("event_type IN ('signup', 'purchase')").select(day.alias("day"), "event_id", step.alias("step")).withColumn("sum", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    # A floor of 0 by the running minimum of the sums.
-    floor = F.least(F.min("sum").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return rows.withColumn("open", F.col("sum") - floor).where((F.col("step") == 1) & (F.col("open") > most)).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("refused"))
+    within = Window.partitionBy("day", "block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.where("event_type IN ('signup', 'purchase')").select(F.to_date("ts").alias("day"), F.floor(F.col("event_id") / ADMITTED).alias("block"), "event_id", step.alias("step"))
+    rows = rows.withColumn("sum", F.sum("step").over(within)).withColumn("low", F.min("sum").over(within))
+    before = Window.partitionBy("day").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("day", "block").agg(F.sum("step").alias("total"), F.min("sum").alias("least"))
+    blocks = blocks.withColumn("begin", F.coalesce(F.sum("total").over(before), F.lit(0))).withColumn("floor", F.least(F.coalesce(F.min(F.col("begin") + F.col("least")).over(before), F.lit(0)), F.lit(0)))
+    found = rows.join(blocks.select("day", "block", "begin", "floor"), ["day", "block"])
+    # Never below 0: what is open stands above the least sum so far.
+    opened = F.col("begin") + F.col("sum") - F.least(F.col("floor"), F.col("begin") + F.col("low"))
+    return found.where((F.col("step") == 1) & (opened > most)).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("refused"))
 
 
 def free_ports(orders: DataFrame, low: int = 30_000, high: int = 30_400) -> DataFrame:

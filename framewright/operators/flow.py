@@ -208,13 +208,13 @@ def bitrate_admission(frames: DataFrame, window_ms: int, most_bytes: int) -> Dat
 
 class Reorder(Machine):
     def __init__(self, most: int):
-        self.most, self.next, self.held = most, None, {}
+        self.most, self.next, self.held, self.place = most, None, {}, 0
 
     def _run(self) -> list[tuple]:
         out = []
         while self.next in self.held:
-            out.append((self.next, self.held.pop(self.next)))
-            self.next = (self.next + 1) % 65536
+            out.append((self.next, self.held.pop(self.next), self.place))
+            self.next, self.place = (self.next + 1) % 65536, self.place + 1
         return out
 
     def step(self, row: tuple) -> list[tuple]:
@@ -237,9 +237,8 @@ class Reorder(Machine):
 
 
 def reorder(rows: DataFrame, most: int = 50) -> DataFrame:
-    """Packets in sequence order (16 bits, wrapping): what is next goes out; beyond `most` held, the gap is given up."""
-    out = fold(rows, ["stream_key"], ["arrival"], ["rtp_seq", "arrival"], lambda: Reorder(most), "rtp_seq bigint, arrival bigint")
-    return out
+    """Packets in sequence order (16 bits, wrapping): what is next goes out; beyond `most` held, the gap is given up. place: when a packet goes out, from 0."""
+    return fold(rows, ["stream_key"], ["arrival"], ["rtp_seq", "arrival"], lambda: Reorder(most), "rtp_seq bigint, arrival bigint, place bigint")
 
 
 def feedback_mode(subscribers: Column, passthrough: int = 3, aggregate: int = 20) -> Column:

@@ -48,16 +48,31 @@ def claims_match(claim: Column, value: Column) -> Column:
     return claim.isNull() | (claim == "") | (claim == value)
 
 
-#: Moves that an RTSP session may make, as state and request.
-MOVES = [("init", "setup", "ready"), ("ready", "setup", "ready"), ("ready", "play", "playing"), ("ready", "record", "recording"), ("playing", "pause", "ready"), ("recording", "pause", "ready"), ("ready", "teardown", "closed"), ("playing", "teardown", "closed"), ("recording", "teardown", "closed")]
+# States that an RTSP session may go to from each state, and the state that each request asks for.
+NEXT_STATES = {
+    "init": ("described", "announced", "closed"),
+    "described": ("ready", "closed"),
+    "announced": ("ready", "closed"),
+    "ready": ("playing", "recording", "closed"),
+    "playing": ("ready", "closed"),
+    "recording": ("closed",),
+}
+ASKED = {"describe": "described", "announce": "announced", "setup": "ready", "play": "playing", "record": "recording", "pause": "ready", "teardown": "closed"}
+EXPIRY_S = 60
 
 
 def moves(steps: DataFrame) -> DataFrame:
-    """Steps (session, n, state, request) with the state that follows, null where the move isn't allowed."""
-    allowed = steps.sparkSession.createDataFrame(MOVES, "state string, request string, next_state string")
+    """Steps (session, state, request, ...) with the state that follows, null where the move isn't allowed."""
+    allowed = steps.sparkSession.createDataFrame([(s, r, t) for s, to in NEXT_STATES.items() for r, t in ASKED.items() if t in to], "state string, request string, next_state string")
     return steps.join(F.broadcast(allowed), ["state", "request"], "left")
 
 
+def expired(steps: DataFrame, now_s: Column, timeout_s: int = EXPIRY_S) -> DataFrame:
+    """session, idle_s, expired: idle since the last move that was allowed, of steps (session, at_s, next_state); longer than the time-out is expired."""
+    idle = now_s - F.max(F.when(F.col("next_state").isNotNull(), F.col("at_s")))
+    return steps.groupBy("session").agg(idle.alias("idle_s")).withColumn("expired", F.col("idle_s") > timeout_s)
+
+
 def relay_target(static: Column, dynamic: Column, mode: Column) -> Column:
     """Where a stream is pulled from: the static list, the scheduler's answer, or the better one by mode."""
     return F.when(mode == "static", static).when(mode == "dynamic", dynamic).otherwise(F.coalesce(dynamic, static))
@@ -95,10 +110,9 @@ def headers_apart(units: DataFrame) -> DataFrame:
 
 
 def media_info(sdp_rows: DataFrame) -> DataFrame:
-    """First video and first audio of each description."""
-    pick = lambda m, c: F.min_by(F.when(F.col("media") == m, F.col(c)), F.when(F.col("media") == m, F.col("n")))
-    rows = sdp_rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("port", "payload_type")))
-    return rows.groupBy("path").agg(pick("video", "codec").alias("video_codec"), pick("audio", "codec").alias("audio_codec"), pick("audio", "clock_rate").alias("sample_rate"), pick("audio", "channels").alias("channels"))
+    """First video and first audio of each description, by their places `m` in it."""
+    pick = lambda m, c: F.min_by(F.when(F.col("media") == m, F.col(c)), F.when(F.col("media") == m, F.col("m")))
+    return sdp_rows.groupBy("path").agg(pick("video", "codec").alias("video_codec"), pick("audio", "codec").alias("audio_codec"), pick("audio", "clock_rate").alias("sample_rate"), pick("audio", "channels").alias("channels"))
 
 
 def with_packetization_mode(fmtp: Column) -> Column:

@@ -219,7 +219,9 @@ def _shuffled(f: DataFrame) -> DataFrame:
     return rows.select("stream_key", F.pmod(F.col("n") + 65500, F.lit(65536)).cast("bigint").alias("rtp_seq"), (F.floor(F.col("n") / 5) * 5 + 4 - F.col("n") % 5).cast("bigint").alias("arrival"))
 
 
-on_frames("reorder_emit", lambda f: flow.reorder(_shuffled(f), 8))
+# The first packet that arrives, the fifth or a shorter stream's last, begins; those before it are late and go out at the end.
+on_frames("reorder_emit", lambda f: flow.reorder(_shuffled(f), 8), """, n AS (SELECT stream_key, row_number() OVER (PARTITION BY stream_key ORDER BY seq) - 1 AS n, count(*) OVER (PARTITION BY stream_key) AS c FROM frames
+), b AS (SELECT *, least(4, c - 1) AS b FROM n) SELECT stream_key, (n + 65500) % 65536 AS rtp_seq, n // 5 * 5 + 4 - n % 5 AS arrival, CASE WHEN n >= b THEN n - b ELSE c - b + n END AS place FROM b""")
 on_frames("stats_rollup", catalog.stats_rollup, " SELECT stream_key, media, count(*) AS frames, sum(size)::BIGINT AS bytes FROM frames GROUP BY ROLLUP (stream_key, media)")
 
 # Catalogs and events.
@@ -229,7 +231,8 @@ on_tables("offline_devices", lambda s, e: catalog.offline_devices(s, e, 12), ("s
 on_tables("alarm_join", catalog.known_alarms, ("supplier", "events"), "SELECT user_id AS device_id, s_name AS name, count(*) AS alarms FROM events JOIN supplier ON user_id = s_suppkey WHERE event_type = 'error' GROUP BY ALL")
 on_tables("orphan_alarms", catalog.orphan_alarms, ("supplier", "events"), "SELECT user_id AS device_id, event_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT s_suppkey FROM supplier)")
 on_tables("session_states", catalog.open_sessions, ("orders",), "SELECT o_custkey AS channel_id, count(*) AS open_sessions, max(o_orderkey) AS latest_session FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
-on_tables("playback_range", lambda o: catalog.playback(o, "1994-01-01 00:00:00", "1994-03-01 00:00:00"), ("orders",), "SELECT o_orderkey AS session_id, epoch_us(o_orderdate) // 1000000 AS start_s FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1994-03-01'")
+PLAYBACK = ("1996-01-01 00:00:00", "1996-03-01 00:00:00")
+on_tables("playback_range", lambda o: catalog.playback(o, *PLAYBACK), ("orders",), f"SELECT o_orderkey AS session_id, epoch_us(o_orderdate) // 1000000 AS start_s FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '{PLAYBACK[0]}' AND TIMESTAMP '{PLAYBACK[1]}'")
 on_tables("topology_paths", catalog.topology_paths, ("region", "nation"), "SELECT r_name AS origin, NULL::VARCHAR AS edge, r_name AS path, 0 AS hops FROM region UNION ALL SELECT r_name, n_name, r_name || '/' || n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey")
 on_tables("forward_plan", catalog.forward_plan, ("supplier", "region"), "SELECT s_suppkey AS stream_key, s || '://' || lower(r_name) || '/live/' || s_suppkey AS target FROM supplier, (SELECT r_name, (['rtmp', 'rtsp', 'srt', 'rtp', 'webrtc'])[r_regionkey % 5 + 1] AS s FROM region) WHERE s <> 'webrtc'")
 on_tables("origin_pull_candidates", catalog.origin_pull, ("events",), "SELECT user_id, event_id FROM (SELECT *, last_value(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS live FROM events) WHERE event_type = 'view' AND coalesce(live, 0) = 0")
@@ -244,7 +247,7 @@ on_tables("stream_limit", lambda e: catalog.admission(e, 10), ("events",), "SELE
 on_tables("free_port", catalog.free_ports, ("orders",), "SELECT min(p) AS port, count(*) AS free FROM range(30000, 30400, 2) t(p) WHERE p NOT IN (SELECT 30000 + 2 * (o_orderkey % 200) FROM orders WHERE o_orderstatus = 'F')")
 
 
-@query("codec_matrix", "SELECT s AS source, t AS target, s = t OR (s <> 'G729' AND t <> 'G729') AS possible FROM (SELECT unnest(['AAC', 'Opus', 'MP3', 'G711A', 'G711U', 'G722', 'G729', 'Speex']) AS s), (SELECT unnest(['AAC', 'Opus', 'MP3', 'G711A', 'G711U', 'G722', 'G729', 'Speex']) AS t)")
+@query("codec_matrix", "SELECT s AS source, t AS target, s <> 'G729' AND t <> 'G729' AS possible FROM (SELECT unnest(['AAC', 'Opus', 'MP3', 'G711A', 'G711U', 'G722', 'G729', 'Speex']) AS s), (SELECT unnest(['AAC', 'Opus', 'MP3', 'G711A', 'G711U', 'G722', 'G729', 'Speex']) AS t)")
 def _codec_matrix(spark, sf_dir):
     return catalog.codec_matrix(spark)
 
@@ -256,11 +259,18 @@ def _url_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.scheme(u).alias("scheme"), S.host(u).alias("host"), S.path(u).alias("path"), S.port(u, 1935).alias("port"))
 
 
-@query("segment_path_parts", "SELECT c_custkey, 'live/' || c_name AS stream, c_custkey * 3 AS segment FROM customer")
+@query("segment_path_parts", r"""WITH u AS (SELECT c_custkey, (['/live/', '/live/room/', '//live/./x/../', '/'])[c_custkey % 4 + 1] || c_name || (['.m3u8', '.v1.flv', '', '.'])[c_custkey % 5 % 4 + 1] AS u FROM customer),
+    steps AS (SELECT *, list_filter(string_split(CASE WHEN c_custkey % 4 = 2 THEN replace(u, 'x/../', '') ELSE u END, '/'), lambda s: s <> '' AND s <> '.') AS steps FROM u),
+    parts AS (SELECT c_custkey, steps[1] AS app, array_to_string(steps[2:], '/') AS rest FROM steps),
+    dots AS (SELECT *, length(rest) - strpos(reverse(rest), '.') + 1 AS dot FROM parts WHERE strpos(rest, '.') > 0)
+    SELECT c_custkey, CASE WHEN dot > 1 AND dot < length(rest) THEN app || '/' || rest[:dot - 1] END AS stream, CASE WHEN dot > 1 AND dot < length(rest) THEN rest[dot + 1:] END AS format, c_custkey * 3 AS segment,
+        CASE WHEN c_custkey % 2 = 0 THEN 'seg' ELSE '' END || (c_custkey * 3) AS segment_name FROM customer LEFT JOIN dots USING (c_custkey)""")
 def _segment_paths(spark, sf_dir):
-    p = F.concat(F.lit("/live/"), F.col("c_name"), F.lit("/"), (F.col("c_custkey") * 3).cast("string"), F.lit(".ts"))
-    base = F.concat(F.lit("/live/"), F.col("c_name"), F.lit(".m3u8"))
-    return table(spark, sf_dir, "customer").select("c_custkey", S.stream_path(base).alias("stream"), S.segment_number(p).alias("segment"))
+    k = F.col("c_custkey")
+    of = lambda xs, at: F.get(F.array(*map(F.lit, xs)), at.cast("int"))
+    base = F.concat(of(("/live/", "/live/room/", "//live/./x/../", "/"), k % 4), F.col("c_name"), of((".m3u8", ".v1.flv", "", "."), k % 5 % 4))
+    p = F.concat(F.lit("/live/"), F.col("c_name"), F.when(k % 2 == 0, "/seg").otherwise("/"), (k * 3).cast("string"), F.when(k % 2 == 0, ".m4s").otherwise(".ts"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.stream_path(base).alias("stream"), S.stream_parts(base)["format"].alias("format"), S.segment_number(p).alias("segment"), S.segment_parts(p)["name"].alias("segment_name"))
 
 
 @query("query_params", "SELECT o_orderkey, o_custkey::VARCHAR AS token, o_orderstatus AS st, 2::BIGINT AS n FROM orders")
@@ -270,17 +280,19 @@ def _query_params(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", m.alias("m")).select("o_orderkey", F.col("m")["token"].alias("token"), F.col("m")["st"].alias("st"), F.size("m").cast("bigint").alias("n"))
 
 
-@query("size_parse", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1024 WHEN 2 THEN p_size * 1048576 WHEN 3 THEN p_size * 1073741824::BIGINT END::BIGINT AS bytes FROM part")
+@query("size_parse", "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 5 THEN p_size * (CASE p_partkey % 7 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 WHEN 4 THEN 1024 ELSE 1 END)::BIGINT END AS bytes FROM part")
 def _size_parse(spark, sf_dir):
-    unit = F.element_at(F.array(*map(F.lit, ("", "KB", "MB", " gb".upper(), "XB"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", S.parse_size(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    text = F.when(k == 1, F.concat(n, F.lit("KB"))).when(k == 2, F.concat(n, F.lit(".5 mb"))).when(k == 3, F.concat(F.lit(" "), n, F.lit(" Gb "))).when(k == 4, F.concat(n, F.lit("kb"))).when(k == 5, F.concat(F.lit("x"), n)).when(k == 6, F.concat(n, F.lit("b"))).otherwise(n)
+    return table(spark, sf_dir, "part").select("p_partkey", S.parse_size(text).alias("bytes"))
 
 
-@query("ptz_checksum", "SELECT s_suppkey, 'A50F01' || printf('%02X%02X%02X%02X%02X', b::INT, h::INT, v::INT, z::INT, ((181 + b + h + v + z) % 256)::INT) AS command FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END + CASE s_suppkey % 5 WHEN 0 THEN 0 ELSE 8 END + CASE WHEN s_suppkey % 7 = 0 THEN 32 ELSE 0 END AS b, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 64 END AS h, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 64 END AS v, CASE WHEN s_suppkey % 7 = 0 THEN 16 ELSE 0 END AS z FROM supplier)")
+@query("ptz_checksum", "SELECT s_suppkey, 'A50F01' || printf('%02X%02X%02X%02X%02X', b::INT, z::INT, h::INT, v::INT, ((181 + b + z + h + v) % 256)::INT) AS command FROM (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END + CASE s_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 8 END AS b, CASE s_suppkey % 7 WHEN 0 THEN 32 WHEN 1 THEN 16 ELSE 0 END AS z, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 64 END AS h, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 64 END AS v FROM supplier)")
 def _ptz(spark, sf_dir):
     k = F.col("s_suppkey")
     pan = F.when(k % 3 == 1, 1).when(k % 3 == 2, -1).otherwise(0)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.ptz(pan, F.when(k % 5 == 0, 0).otherwise(1), F.when(k % 7 == 0, -1).otherwise(0)).alias("command"))
+    tilt, zoom = F.when(k % 5 == 0, 0).when(k % 5 == 1, -1).otherwise(1), F.when(k % 7 == 0, -1).when(k % 7 == 1, 1).otherwise(0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.ptz(pan, tilt, zoom).alias("command"))
 
 
 @query("json_props", r"SELECT CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k, count(*) AS events FROM events GROUP BY 1")
@@ -289,10 +301,11 @@ def _json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("events"))
 
 
-@query("srt_stream_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 OR o_orderkey % 2 = 0 AND o_orderkey % 3 <> 2 THEN CASE WHEN o_orderkey % 3 = 2 THEN 'subscribe' ELSE 'publish' END ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'subscribe' ELSE 'publish' END END AS mode, 'live/' || o_custkey AS key FROM orders")
+@query("srt_stream_ids", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 OR o_orderkey % 4 = 0 AND o_custkey % 3 = 1 THEN 'publish' WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 2 THEN 'request' ELSE 'subscribe' END AS mode, 'live/' || o_custkey AS key FROM orders")
 def _srt(spark, sf_dir):
-    key, n = F.concat(F.lit("live/"), F.col("o_custkey").cast("string")), F.col("o_orderkey")
-    text = F.when(n % 3 == 0, F.concat(F.lit("#!::r="), key, F.lit(",m="), F.when(n % 2 == 0, "publish").otherwise("request"))).when(n % 3 == 1, F.concat(F.lit("publish:"), key, F.lit("?x=1"))).otherwise(key)
+    key, n, c = F.concat(F.lit("live/"), F.col("o_custkey").cast("string")), F.col("o_orderkey"), F.col("o_custkey")
+    listed = F.concat(F.lit("#!::r=/"), key, F.when(c % 3 == 1, ",m=publish").when(c % 3 == 2, ",m=request,x").otherwise(",h=host"))
+    text = F.when(n % 4 == 0, listed).when(n % 4 == 1, F.concat(F.lit("publish:/"), key, F.lit("?x=1"))).when(n % 4 == 2, F.concat(F.lit("subscribe:"), key)).otherwise(F.concat(F.lit("/"), key))
     return table(spark, sf_dir, "orders").select("o_orderkey", S.srt_stream_id(text).alias("s")).select("o_orderkey", "s.mode", "s.key")
 
 
@@ -346,14 +359,17 @@ on_frames("rtp_round_trip", lambda f: rtp.one_byte_descriptor(rtp.headers(rtp.pa
 on_frames("looped_source", lambda f: flv.looped(f, 2, 33).groupBy("stream_key").agg(F.count("*").alias("frames"), F.max("dts_ms").alias("last_ms"), F.max("seq").alias("last_seq")), " SELECT stream_key, 2 * count(*) AS frames, 2 * max(dts_ms) + 33 AS last_ms, 2 * max(seq) + 1 AS last_seq FROM frames GROUP BY stream_key")
 
 
-@query("llhls_text")
-def _llhls_text(spark, sf_dir):
-    return playlists.llhls(segments.llhls_parts(frames(spark, sf_dir), PART, SEGMENT), PART)
-
-
-@query("mpd_text")
-def _mpd_text(spark, sf_dir):
-    return playlists.mpd(segments.dash_timeline(frames(spark, sf_dir), keep=5))
+LINES = """'#EXT-X-PART:DURATION=' || (duration_ms // 1000) || '.' || lpad((duration_ms % 1000)::VARCHAR, 3, '0') || ',URI="' || segment || '.' || part || '.m4s"' || CASE WHEN independent THEN ',INDEPENDENT=YES' ELSE '' END"""
+on_frames("llhls_text", lambda f: playlists.llhls(segments.llhls_parts(f, PART, SEGMENT), PART), PARTS + f""", sg AS (
+    SELECT stream_key, segment, string_agg({LINES}, chr(10) ORDER BY part) AS body, sum(duration_ms)::BIGINT AS ms FROM parts GROUP BY stream_key, segment QUALIFY row_number() OVER (PARTITION BY stream_key ORDER BY segment DESC) <= 4
+), t AS (SELECT stream_key, ceil(max(ms) / 1000.0)::BIGINT AS target, min(segment) AS first, string_agg(body || chr(10) || '#EXTINF:' || (ms // 1000) || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') || ',' || chr(10) || segment || '.m4s', chr(10) ORDER BY segment) AS body FROM sg GROUP BY stream_key)
+SELECT stream_key, concat_ws(chr(10), '#EXTM3U', '#EXT-X-VERSION:9', '#EXT-X-TARGETDURATION:' || target, '#EXT-X-SERVER-CONTROL:CAN-BLOCK-RELOAD=YES,PART-HOLD-BACK={3 * PART // 1000}.000,CAN-SKIP-UNTIL=' || target * 6, '#EXT-X-PART-INF:PART-TARGET={PART // 1000}.000', '#EXT-X-MEDIA-SEQUENCE:' || first, body, '') AS playlist FROM t""")
+on_frames("mpd_text", lambda f: playlists.mpd(segments.dash_timeline(f, keep=5)), DASH + """, d AS (
+    SELECT stream_key, segment, coalesce(lead(start_ms) OVER (PARTITION BY stream_key ORDER BY segment) - start_ms, 2000) AS d FROM dash
+), k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY stream_key ORDER BY segment DESC) <= 5
+), t AS (SELECT stream_key, segment, d, (sum(d) OVER (PARTITION BY stream_key ORDER BY segment ROWS UNBOUNDED PRECEDING) - d)::BIGINT AS t FROM k)
+SELECT stream_key, '<?xml version="1.0"?><MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="dynamic"><Period id="0" start="PT0S"><AdaptationSet contentType="video" mimeType="video/mp4"><SegmentTemplate timescale="1000" startNumber="' || min(segment) || '" media="v$Number$.m4s" initialization="vinit.mp4"><SegmentTimeline>'
+    || string_agg('<S t="' || t || '" d="' || d || '"/>', '' ORDER BY segment) || '</SegmentTimeline></SegmentTemplate></AdaptationSet></Period></MPD>' AS mpd FROM t GROUP BY stream_key""")
 
 
 @query("quality_json", None)
@@ -361,6 +377,16 @@ def _quality_json(spark, sf_dir):
     return playlists.report_json(quality.report(frames(spark, sf_dir)))
 
 
+def _read_report(f: DataFrame) -> DataFrame:
+    """The JSON reports' fields, read back."""
+    kind = "duration_ms bigint, video struct<frame_count: bigint, fps: double, bitrate_kbps: double, keyframe_interval: double, dts_monotonic: boolean>, audio struct<frame_count: bigint, bitrate_kbps: double, dts_monotonic: boolean>"
+    r = playlists.report_json(quality.report(f)).select("stream_key", F.from_json("report", kind).alias("r"))
+    return r.select("stream_key", "r.duration_ms", *(F.col(f"r.{m}.{c}").alias(f"{m}_{c}") for m, cs in (("video", ("frame_count", "fps", "bitrate_kbps", "keyframe_interval", "dts_monotonic")), ("audio", ("frame_count", "bitrate_kbps", "dts_monotonic"))) for c in cs))
+
+
+on_frames("quality_json_fields", _read_report, REPORT + " SELECT stream_key, duration_ms, video_frames AS video_frame_count, video_fps, video_kbps AS video_bitrate_kbps, keyframe_interval_s AS video_keyframe_interval, video_monotonic AS video_dts_monotonic, audio_frames AS audio_frame_count, audio_kbps AS audio_bitrate_kbps, audio_monotonic AS audio_dts_monotonic FROM report")
+
+
 @query("webhook_payloads", "SELECT event_type AS event, count(*) AS sent, count(DISTINCT user_id) AS streams FROM events GROUP BY 1")
 def _webhooks(spark, sf_dir):
     from .streaming.stateful import webhook_payload
@@ -384,8 +410,28 @@ on_frames("segment_lookup", lambda f: tracks.segment_lookup(segments.newest(segm
 SELECT rq.stream_key, number, CASE WHEN l.segment IS NOT NULL THEN 'found' WHEN number > coalesce(newest, -1) THEN 'wait' ELSE 'gone' END AS answer FROM rq LEFT JOIN e USING (stream_key) LEFT JOIN last5 l ON l.stream_key = rq.stream_key AND l.segment = number""")
 
 
-@query("session_moves", "SELECT o_orderkey AS session, CASE WHEN o_orderstatus = 'O' AND l = 1 THEN 'playing' WHEN o_orderstatus = 'P' AND l = 0 THEN 'ready' WHEN o_orderstatus = 'F' THEN 'closed' END AS next_state FROM (SELECT *, o_custkey % 2 AS l FROM orders)")
+SESSION_STATES, SESSION_REQUESTS = ("init", "described", "announced", "ready", "playing", "recording", "closed"), ("describe", "announce", "setup", "play", "record", "pause", "teardown")
+
+
+@query("session_moves", f"""WITH s AS (SELECT o_orderkey AS session, (['{"', '".join(SESSION_STATES)}'])[o_custkey % 7 + 1] AS state, (['{"', '".join(SESSION_REQUESTS)}'])[o_orderkey % 7 + 1] AS request FROM orders),
+    t AS (SELECT *, CASE request WHEN 'describe' THEN 'described' WHEN 'announce' THEN 'announced' WHEN 'play' THEN 'playing' WHEN 'record' THEN 'recording' WHEN 'teardown' THEN 'closed' ELSE 'ready' END AS target FROM s)
+    SELECT session, state, request, CASE WHEN CASE state WHEN 'init' THEN target IN ('described', 'announced', 'closed') WHEN 'described' THEN target IN ('ready', 'closed') WHEN 'announced' THEN target IN ('ready', 'closed') WHEN 'ready' THEN target IN ('playing', 'recording', 'closed')
+        WHEN 'playing' THEN target IN ('ready', 'closed') WHEN 'recording' THEN target = 'closed' ELSE false END THEN target END AS next_state FROM t""")
 def _moves(spark, sf_dir):
-    status, odd = F.col("o_orderstatus"), F.col("o_custkey") % 2 == 1
-    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), F.when(status == "P", F.when(odd, "playing").otherwise("init")).when(status == "O", F.when(odd, "ready").otherwise("closed")).otherwise("recording").alias("state"), F.when(status == "P", "setup").when(status == "O", "play").otherwise("teardown").alias("request"))
-    return tracks.moves(steps).select("session", "next_state")
+    of = lambda xs, c: F.get(F.array(*map(F.lit, xs)), (F.col(c) % 7).cast("int"))
+    steps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), of(SESSION_STATES, "o_custkey").alias("state"), of(SESSION_REQUESTS, "o_orderkey").alias("request"))
+    return tracks.moves(steps).select("session", "state", "request", "next_state")
+
+
+@query("session_expiry", """SELECT o_custkey AS session, (SELECT epoch_us(max(o_orderdate)) // 1000000 FROM orders) - max(epoch_us(o_orderdate) // 1000000) FILTER (WHERE o_orderstatus <> 'P') AS idle_s,
+    (SELECT epoch_us(max(o_orderdate)) // 1000000 FROM orders) - max(epoch_us(o_orderdate) // 1000000) FILTER (WHERE o_orderstatus <> 'P') > 86400 * 200 AS expired FROM orders GROUP BY 1""")
+def _expiry(spark, sf_dir):
+    """Orders as steps, pending ones as refused moves; 60 s scaled to 200 days."""
+    orders = table(spark, sf_dir, "orders")
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")
+    steps = orders.select(F.col("o_custkey").alias("session"), at.alias("at_s"), F.when(F.col("o_orderstatus") != "P", "ready").alias("next_state"))
+    now = steps.agg(F.max("at_s").alias("now_s"))  # one row
+    return tracks.expired(steps, F.lit(now.first()[0]), 86_400 * 200)
+
+
+from . import server_queries  # noqa: E402,F401  registers its queries

@@ -53,7 +53,7 @@ def samples(rows: DataFrame) -> DataFrame:
 def frames(files: DataFrame) -> DataFrame:
     """Frames of (path, content), each with its initialisation and segments. A sample is a key if it depends on none, or if nothing is said and it is a sync sample."""
     rows = boxes(files)
-    known = samples(rows).join(F.broadcast(tracks(rows)), ["path", "track_id"])
+    known = samples(rows).join(tracks(rows), ["path", "track_id"])
     depends, not_sync = B.field(F.col("flags"), 24, 2), B.field(F.col("flags"), 16, 1)
     key = (depends == 2) | ((depends == 0) & (not_sync == 0))
     ms = lambda c: F.floor(c * 1000 / F.col("timescale")).cast("bigint")

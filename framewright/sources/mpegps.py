@@ -31,7 +31,7 @@ def frames(files: DataFrame) -> DataFrame:
     """Frames of program streams: packets without times go on the frame before; audio counts as key."""
     pkts = packets(files)
     d = F.col("data")
-    rows = pkts.where((F.col("stream_id") >= 0xC0) & (F.col("stream_id") <= 0xEF)).join(F.broadcast(stream_map(pkts)), ["path", "stream_id"])
+    rows = pkts.where((F.col("stream_id") >= 0xC0) & (F.col("stream_id") <= 0xEF)).join(stream_map(pkts), ["path", "stream_id"])
     flags = B.field(B.u8(d, 1), 6, 2)
     ms = lambda at: F.floor(B.pts(d, F.lit(at)) / 90).cast("bigint")
     by = Window.partitionBy("path", "stream_id").orderBy("idx")

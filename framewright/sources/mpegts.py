@@ -51,7 +51,7 @@ def streams(pkts: DataFrame) -> DataFrame:
 def pes(pkts: DataFrame, pids: DataFrame) -> DataFrame:
     """Each PES packet of the given pids: path, pid, stream_type, idx (of its first packet), pts_ms, dts_ms, payload. The last is closed by the end."""
     by = Window.partitionBy("path", "pid").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pkts.join(F.broadcast(pids), ["path", "pid"]).withColumn("n", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(by)).where("n > 0")
+    rows = pkts.join(pids, ["path", "pid"]).withColumn("n", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(by)).where("n > 0")
     whole = rows.groupBy("path", "pid", "stream_type", "n").agg(F.min("idx").alias("idx"), F.expr("listagg(payload) WITHIN GROUP (ORDER BY idx)").alias("b"))
     b, flags = F.col("b"), B.field(B.u8(F.col("b"), 7), 6, 2)
     ms = lambda at: F.expr("bigint(0)") + F.floor(B.pts(b, F.lit(at)) / 90).cast("bigint")

@@ -63,7 +63,7 @@ def mpd(files: DataFrame) -> DataFrame:
 
 
 def sdp(files: DataFrame) -> DataFrame:
-    """path, media, port, payload_type, codec, clock_rate, channels, fmtp, control of the first format of each media of (path, content)."""
+    """path, m (place, from 1), media, port, payload_type, codec, clock_rate, channels, fmtp, control of the first format of each media of (path, content)."""
     rows = _lines(files).withColumn("m", F.count_if(F.startswith("line", F.lit("m="))).over(Window.partitionBy("path").orderBy("n")))
     value = lambda tag: F.max(F.when(F.startswith("line", F.lit(tag)), F.substring_index("line", tag, -1)))
     attrs = F.collect_list(F.when(F.col("line").rlike("^a=(rtpmap|fmtp):"), F.col("line")))
@@ -72,7 +72,7 @@ def sdp(files: DataFrame) -> DataFrame:
     find = lambda kind: F.get(F.filter("a", lambda x: F.startswith(x, F.concat(F.lit(f"a={kind}:"), pt, F.lit(" ")))), 0)
     spec = F.split(F.substring_index(find("rtpmap"), " ", -1), "/")
     static = F.element_at(F.create_map(*(F.lit(x) for x in ("0", "PCMU", "8", "PCMA", "9", "G722", "14", "MPA", "18", "G729"))), pt)
-    return media.select("path", F.get(w, 0).alias("media"), F.get(w, 1).cast("int").alias("port"), pt.cast("int").alias("payload_type"), F.upper(F.coalesce(F.get(spec, 0), static)).alias("codec"), F.get(spec, 1).cast("int").alias("clock_rate"), F.when(F.get(w, 0) == "audio", F.coalesce(F.get(spec, 2).cast("int"), F.lit(1))).alias("channels"), F.regexp_replace(find("fmtp"), r"^a=fmtp:\d+ ", "").alias("fmtp"), "control")
+    return media.select("path", "m", F.get(w, 0).alias("media"), F.get(w, 1).cast("int").alias("port"), pt.cast("int").alias("payload_type"), F.upper(F.coalesce(F.get(spec, 0), static)).alias("codec"), F.get(spec, 1).cast("int").alias("clock_rate"), F.when(F.get(w, 0) == "audio", F.coalesce(F.get(spec, 2).cast("int"), F.lit(1))).alias("channels"), F.regexp_replace(find("fmtp"), r"^a=fmtp:\d+ ", "").alias("fmtp"), "control")
 
 
 def track_id(url: Column) -> Column:

@@ -67,7 +67,7 @@ def test_scalars(spark):
         S.ntp_time(F.lit(500_000)).alias("j"), S.ptz(F.lit(1), F.lit(0), F.lit(0)).alias("k"), S.seq_distance(F.lit(1), F.lit(65535)).alias("l"), S.rtp_clock(F.lit(1_700_000_000_123), 90_000).alias("m"),
     ).first()
     assert r[:9] == (2 << 20, None, "live/cam", None, "1.2.3.4", "9.9.9.9", True, False, True)
-    assert int(r.j) == (2_208_988_800 << 32) + (1 << 31) and r.k == "A50F01014000" + f"{0:02X}{(0xB5 + 1 + 0x40) % 256:02X}" and r.l == 2 and r.m == 1_700_000_000_123 * 90 % (1 << 32)
+    assert int(r.j) == (2_208_988_800 << 32) + (1 << 31) and r.k == "A50F01010040" + f"{0:02X}{(0xB5 + 1 + 0x40) % 256:02X}" and r.l == 2 and r.m == 1_700_000_000_123 * 90 % (1 << 32)
 
 
 def test_auth(spark):

@@ -28,8 +28,29 @@ def test_media_info(spark):
 
 
 def test_moves(spark):
-    df = spark.createDataFrame([(1, "init", "setup"), (1, "init", "play"), (2, "playing", "teardown")], "session int, state string, request string")
-    assert sorted((r.state, r.request, r.next_state) for r in tracks.moves(df).collect()) == [("init", "play", None), ("init", "setup", "ready"), ("playing", "teardown", "closed")]
+    """A player's and a publisher's way, and moves that are refused."""
+    good = [("init", "describe", "described"), ("described", "setup", "ready"), ("ready", "play", "playing"), ("playing", "pause", "ready"), ("playing", "teardown", "closed"), ("init", "announce", "announced"), ("announced", "setup", "ready"), ("ready", "record", "recording"), ("recording", "teardown", "closed"), ("init", "teardown", "closed")]
+    bad = [("init", "play", None), ("init", "setup", None), ("ready", "setup", None), ("recording", "pause", None), ("closed", "describe", None), ("described", "play", None), ("init", "other", None)]
+    df = spark.createDataFrame([(i, s, r) for i, (s, r, _) in enumerate(good + bad)], "session int, state string, request string")
+    assert [r.next_state for r in tracks.moves(df).orderBy("session").collect()] == [t for _, _, t in good + bad]
+
+
+def test_sessions_expire(spark):
+    df = spark.createDataFrame([(1, 0, "described"), (1, 39, "ready"), (1, 90, None), (2, 40, "described"), (3, 5, None)], "session int, at_s long, next_state string")
+    assert sorted((r.session, r.idle_s, r.expired) for r in tracks.expired(df, F.lit(100)).collect()) == [(1, 61, True), (2, 60, False), (3, None, None)]
+
+
+def test_media_info_goes_by_place(spark):
+    """Ports are often 0; the first of each medium counts, not the least payload type."""
+    text = "m=video 0 RTP/AVP 98\na=rtpmap:98 VP9/90000\nm=video 0 RTP/AVP 96\na=rtpmap:96 h264/90000\nm=audio 0 RTP/AVP 111\na=rtpmap:111 opus/48000/2\nm=audio 0 RTP/AVP 0\n"
+    rows = texts.sdp(spark.createDataFrame([("x", text)], "path string, content string"))
+    assert tracks.media_info(rows).first()[1:] == ("VP9", "OPUS", 48000, 2)
+
+
+def test_requests_keep_all_headers(spark):
+    text = "OPTIONS * RTSP/1.0\r\n" + "".join(f"X-{i}: {i}\r\n" for i in range(1500)) + "\r\n"
+    headers = spark.range(1).select(tracks.rtsp_request(F.lit(text))["headers"].alias("h")).first().h
+    assert len(headers) == 1500 and headers["x-1499"] == "1499"
 
 
 def test_program_stream_over_rtp(spark):
