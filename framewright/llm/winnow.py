@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of GRAM bytes has a rolling hash: the exclusive or of its bytes' own
-hashes, each turned left by one bit more than the next one's (a cyclic polynomial),
-so the hash of a run is that of its two parts, the first turned by the length of the second. Columns
-have no running state; all runs are rolled together by doubling, from 1 byte to 2,
-4, 8 and 16, with the values that byte-by-byte rolling gives. Of each WINDOW hashes
+Every run of GRAM bytes has a rolling hash, a cyclic polynomial of its words of WORD
+bytes: the exclusive or of the words' own hashes, each turned left by one bit more
+than the next one's. So a hash goes on by a word when it is turned by a bit, the
+word that leaves is taken out and the next one put in; the runs from each of WORD
+neighbouring bytes roll side by side. Columns have no running state, so each hash is
+put together from its few words, whose hashes are made once, with the value that
+rolling gives. Of each WINDOW hashes
 in a row the least is chosen, the rightmost of equal ones; what is chosen is kept
 with its position. So any run of GRAM + WINDOW - 1 equal bytes in two texts gives
 them a common print. Texts are cut into overlapping pieces first, so that a row's
@@ -13,13 +15,14 @@ memory doesn't grow with its text.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import text_of
 
-GRAM, WINDOW = 16, 32
+GRAM, WORD, WINDOW = 16, 8, 32
 #: Windows of one piece, and windows looked at together (fewer than WINDOW).
 PIECE, STEP = 4096, 4
 LEAST = -(1 << 63)
@@ -31,21 +34,16 @@ def _turned(h: Column, bits: int) -> Column:
     return F.shiftleft(h, bits % 64).bitwiseOR(F.shiftrightunsigned(h, 64 - bits % 64)) if bits % 64 else h
 
 
-def rolling(data: Column, gram: int) -> Column:
-    """The rolling hashes of all runs of gram bytes of a binary column; of shorter data one, as if void bytes followed."""
+def rolling(data: Column, gram: int, word: int = WORD) -> Column:
+    """The rolling hashes of all runs of gram bytes, a multiple of word, of a binary column; of shorter data one, as if void bytes followed."""
+    if gram % word:
+        raise ValueError("a gram is a number of whole words")
     once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  as a lambda's variable, a value is not made anew for each place
     places = lambda count, f: F.transform(F.sequence(F.lit(0), count - 1), f)
-
-    def longer(h: Column, n: int, bytes_: Column) -> Column:
-        """From the hashes of runs of n bytes: twice as long while that is not too long, then longer by a byte."""
-        if n == gram:
-            return h
-        tail, m = (h, n) if 2 * n <= gram else (bytes_, 1)
-        both = places(F.size(bytes_) - (n + m - 1), lambda i: _turned(F.get(h, i), m).bitwiseXOR(F.get(tail, i + n)))
-        return once(both, lambda x: longer(x, n + m, bytes_))
-
-    size = F.greatest(F.octet_length(data), F.lit(gram))
-    return once(data, lambda b: once(places(size, lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(1)))), lambda s: longer(s, 1, s)))
+    size, n = F.greatest(F.octet_length(data), F.lit(gram)), gram // word
+    words = once(data, lambda b: places(size - (word - 1), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(word)))))
+    turned = lambda w, i: [_turned(F.get(w, i + word * k), n - 1 - k) for k in range(n)]
+    return once(words, lambda w: places(F.size(w) - (gram - word), lambda i: functools.reduce(Column.bitwiseXOR, turned(w, i))))
 
 
 def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str] = (), gram: int = GRAM, window: int = WINDOW) -> DataFrame:
