@@ -43,7 +43,8 @@ def rolling(data: Column, gram: int, word: int = WORD) -> Column:
     size, n = F.greatest(F.octet_length(data), F.lit(gram)), gram // word
     words = once(data, lambda b: places(size - (word - 1), lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(word)))))
     turned = lambda w, i: [_turned(F.get(w, i + word * k), n - 1 - k) for k in range(n)]
-    return once(words, lambda w: places(F.size(w) - (gram - word), lambda i: functools.reduce(Column.bitwiseXOR, turned(w, i))))
+    # The words are all there; that a hash is never null keeps the generated code, which reads many of them, small.
+    return once(words, lambda w: places(F.size(w) - (gram - word), lambda i: F.coalesce(functools.reduce(Column.bitwiseXOR, turned(w, i)), F.lit(0).cast("long"))))
 
 
 def chosen(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str] = (), gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -132,8 +133,9 @@ def _own_place() -> Column:
     return F.struct(F.col("_key").alias("key"), F.col("_sub").alias("sub"))
 
 
-def _place(at: tuple[int, int]) -> Column:
-    return F.struct(F.lit(at[0]).cast("long").alias("key"), F.lit(at[1]).cast("long").alias("sub"))
+def _written(places: list[tuple[int, int]]) -> str:
+    """Places as SQL, which many thousands of literals are parsed from at once."""
+    return ", ".join(f"named_struct('key', {k}L, 'sub', {s}L)" for k, s in places)
 
 
 def _range_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
@@ -143,8 +145,13 @@ def _range_of(place: Column, bounds: list[tuple[int, int]]) -> Column:
     width = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     upto = lambda xs: F.size(F.filter(xs, lambda b: b <= place))
-    coarse = upto(F.array(*(_place(g[0]) for g in groups)))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.get(F.array(*(F.array(*map(_place, g)) for g in groups)), coarse - 1)))
+    coarse = upto(F.expr(f"array({_written([g[0] for g in groups])})"))
+    fine = F.expr(f"array({', '.join(f'array({_written(g)})' for g in groups)})")
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + upto(F.get(fine, coarse - 1)))
+
+
+def _is_one_of(places: list[tuple[int, int]]) -> Column:
+    return F.expr(f"named_struct('key', _key, 'sub', _sub) IN ({_written(places)})") if places else F.lit(False)
 
 
 def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -164,7 +171,7 @@ def with_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     bounds, first = _ranges(rows)
     own = F.col("_own")
     guest = lambda where, at: F.when(where, F.array(F.struct(at.alias("range"), F.lit(True).alias("guest")))).otherwise(F.array().cast("array<struct<range:int,guest:boolean>>"))
-    places = F.concat(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest"))), guest(_own_place().isin(*map(_place, bounds)) if bounds else F.lit(False), own - 1), guest(_own_place() == _place(first) if first else F.lit(False), F.lit(len(bounds))))
+    places = F.concat(F.array(F.struct(own.alias("range"), F.lit(False).alias("guest"))), guest(_is_one_of(bounds), own - 1), guest(_is_one_of([first] if first else []), F.lit(len(bounds))))
     ranged = rows.withColumn("_own", _range_of(_own_place(), bounds))
     dealt = ranged.select("doc_id", "_key", "text", F.explode(places).alias("_p")).select("doc_id", "_key", "text", "_p.range", "_p.guest")
     order = Window.partitionBy("range").orderBy("guest", "_key", "text")
