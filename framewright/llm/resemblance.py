@@ -223,9 +223,10 @@ def links(signed: DataFrame, least: float = LEAST) -> DataFrame:
 
 def keep_first(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with one document of each component: one row that has the least doc_id there. Rows without doc_id take part and stay."""
-    own = [f"`{c}`" for c in docs.columns]
-    signed = written(docs.withColumn("s", _sketch(docs["text"])), "resemblance")
-    roots = components(links(signed, least))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    own = [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+    signed = written(docs.select("doc_id", "text", *(docs[f"`{c}`"].alias(n) for c, n in names.items()), _sketch(docs["text"]).alias("s")), "resemblance")
+    roots = components(links(signed.select("text", "s"), least))
     first = signed.where("doc_id IS NOT NULL").groupBy("s.node").agg(F.min("doc_id").alias("doc_id"))
     member = first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     kept = member.groupBy("root").agg(F.min_by(F.struct("node", "doc_id"), F.struct("doc_id", "node")).alias("k")).select(F.col("k.node").alias("__node"), F.col("k.doc_id").alias("__id"))

@@ -78,3 +78,13 @@ def test_few_and_none(spark):
     assert ann.search(frame(spark, [])).collect() == []
     assert ann.search(frame(spark, [(0, [1.0, 2.0], 0, 1, "x", 2)])).collect() == []
     assert ann.search(frame(spark, [(0, None, 0, 1, "x", 2)])).collect() == []
+
+
+def test_unequal_lengths(spark):
+    """Vectors of another length than most take no part; of equally many lengths the shorter one counts."""
+    rows = [(i, [float(i + 1), 1.0, 2.0]) for i in range(30)] + [(100 + i, [1.0, float(i)]) for i in range(5)] + [(200, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, every=20, k=5).collect()
+    assert {r.query_id for r in got} == {0, 20} and max(r.vec_id for r in got) < 30 and len(got) == 10
+    even = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0, 2.0]), (21, [1.0, 3.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id) for r in ann.search(even, every=20, k=5).collect()] == [(0, 1)]

@@ -48,6 +48,15 @@ def test_blocks_keep_matches(library, encoder):
     assert got == want and "".join(bpe.blocks(text, 97)) == text
 
 
+def test_states_are_bounded_within_a_piece(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 200)
+    encoder = bpe.Encoder(bpe.load_ranks(PATH), P.PATTERN)
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(97, 123, 20_000)))
+    assert ids(encoder, text) == library.encode_ordinary(text)
+    assert len(encoder.transducer.pending) <= 202 and text not in encoder.known
+
+
 def test_states_can_be_dropped(library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_PIECES", 5)

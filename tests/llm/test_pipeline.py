@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -8,7 +9,7 @@ from framewright.llm import langid, queries
 
 from . import docs as D
 from .test_line_dedup import brute
-from .test_simhash import brute_components, brute_print
+from .test_resemblance import brute_kept
 from .test_tokens import check_pieces, ids_of
 
 
@@ -44,9 +45,26 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
+    """Links are texts that share 0.8 or more of their distinct 5-word shingles, by comparing all with all."""
     before, after = stages[3]
-    ids = [r.doc_id for r in before]
-    assert sorted(r.doc_id for r in after) == sorted(set(brute_components(ids, [brute_print(r.text) for r in before])))
+    assert sorted(r.doc_id for r in after) == brute_kept([(r.doc_id, r.text) for r in before])
+
+
+CLASHING = ("row", "_score", "score", "rejected", "lang_pred", "lang_score", "lang_margin", "n_lines", "n_dropped", "s", "node", "root", "__nth", "key", "_found", "a.b")
+
+
+def test_own_columns_keep_their_values(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.concat(F.lit(f"own {c} "), F.col("doc_id").cast("string")))
+    columns = docs.columns
+    for name, f in C.STAGES[:-1]:
+        docs = f(spark, docs, sf_dir)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[c] == f"own {c} {r.doc_id}" for r in rows for c in CLASHING), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    assert C.packing_stage(spark, docs, sf_dir).count()
 
 
 def test_packing(stages):
