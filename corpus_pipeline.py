@@ -9,7 +9,7 @@ their text. An empty table passes through as such.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from framewright.llm import langid, line_dedup, packing, quality, queries, resemblance
 from framewright.llm.common import table, written
@@ -19,33 +19,38 @@ QUALITY = 0.3
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the whole row in one column, so that no operator's own columns meet others of the same name."""
-    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """doc_id, text, and all other columns in one, so that no operator's own columns meet others of the same name."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **now: Column) -> DataFrame:
+    """What `carried` packed, with these columns; those in `now` get new values."""
+    return rows.select(*(now.get(c, F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     scored = quality.score(carried(docs), queries.quality_network(spark, sf_dir), "score")
-    return scored.where(F.col("score") >= QUALITY).select("row.*")
+    return unpacked(scored.where(F.col("score") >= QUALITY), docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with a narrow margin, go."""
     found = langid.identify(carried(docs), queries.language_dictionaries(spark, sf_dir))
-    return found.where(~F.col("rejected")).select("row.*")
+    return unpacked(found.where(~F.col("rejected")), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go, everywhere; n_chars follows the text."""
     out = line_dedup.drop_frequent_lines(carried(docs), min_docs=10)
-    cut = F.col("n_dropped") > 0
-    now = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    if "n_chars" not in docs.columns:
+        return unpacked(out, docs.columns)
+    return unpacked(out, docs.columns, n_chars=F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id. Links: 0.8 or more of the 5-word shingles shared."""
-    return resemblance.keep_first(carried(docs)).select("row.*")
+    return unpacked(resemblance.keep_first(carried(docs)), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
