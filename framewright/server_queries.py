@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .operators import catalog, segments, server
 from .plans.frames import FRAMES_SQL, frames, table
-from .queries import DAY, HLS, on_frames, on_tables, query
+from .queries import DAY, HLS, ROUND, _with_payload, on_frames, on_tables, query
+from .sources import rtp
 
 TIMEOUT = DAY // 2
 STREAMS = f""", newest AS (SELECT max(dts_ms) AS t FROM frames), st AS (
@@ -113,3 +114,62 @@ def _codec_report(spark, sf_dir):
     audio = F.struct(F.lit("audio").alias("media"), F.when(k % 3 == 0, "Opus").otherwise("AAC").alias("codec"), F.when(k % 3 == 0, F.lit(b"")).otherwise(F.lit(ASC)).alias("payload"))
     rows = table(spark, sf_dir, "supplier").select(k.alias("stream_key"), F.posexplode(F.array(video, audio)).alias("seq", "h")).select("stream_key", "seq", "h.*")
     return server.codec_report(rows)
+
+
+# RTP of every codec, there and back, and initialisation segments.
+VIDEO, AUDIO = ("H264", "H265", "VP8", "VP9", "AV1"), ("AAC", "Opus", "MP3", "G711A", "G711U", "G722", "G729", "Speex")
+
+
+def _as_codec(f, codec: str):
+    """Frames with a payload that the codec's reader tells keys by."""
+    fill = F.repeat(F.lit("v"), F.pmod("size", F.lit(400)).cast("int")).cast("binary")
+    heads = {"H264": (b"\0\0\0\1\x65", b"\0\0\0\1\x41"), "H265": (b"\0\0\0\1\x26\1", b"\0\0\0\1\2\1"), "VP8": (b"\x10", b"\x11"), "VP9": (b"\x82", b"\x86"), "AV1": (b"\x12\0\x0a\1\0\x32", b"\x12\0\x32")}
+    key, other = heads.get(codec, (b"a", b"a"))
+    return f.withColumn("payload", F.concat(F.when(F.col("frame_type") == "key", F.lit(key)).otherwise(F.lit(other)), fill))
+
+
+def _rtp(codec: str, media: str):
+    def run(f):
+        rows = _as_codec(_with_payload(f).where(F.col("media") == media), codec)
+        got = rtp.depacketized(rtp.headers(rtp.packetized(rows, codec, 120)), codec)
+        return got.select("stream_key", "au_id", "rtp_ts", "frame_type", F.octet_length("payload").cast("bigint").alias("size"))
+
+    return run
+
+
+#: Bytes in front of a frame's filling, for a key and for other frames.
+HEADS = {"H264": (5, 5), "H265": (6, 6), "VP8": (1, 1), "VP9": (1, 1), "AV1": (6, 3)} | dict.fromkeys(AUDIO, (1, 1))
+for _codec in (*VIDEO, *AUDIO):
+    _media, _clock = ("video" if _codec in VIDEO else "audio"), rtp.CLOCKS[_codec]
+    # The VP9 descriptor as written has no bit that tells keys from other frames, so all come back as keys.
+    _type = "'inter'" if _media == "audio" else "'key'" if _codec == "VP9" else "frame_type"
+    on_frames(f"rtp_round_trip_{_codec.lower()}", _rtp(_codec, _media), ROUND + f""" SELECT path::BIGINT AS stream_key, row_number() OVER (PARTITION BY path ORDER BY seq) - 1 AS au_id, (dts_ms * {_clock} // 1000) % 4294967296 AS rtp_ts, {_type} AS frame_type,
+        size % 400 + CASE WHEN frame_type = 'key' THEN {HEADS[_codec][0]} ELSE {HEADS[_codec][1]} END AS size FROM q WHERE media = '{_media}'""")
+
+on_tables("fmp4_descriptions", lambda s: _descriptions(s), ("supplier",), """SELECT s_suppkey::VARCHAR AS path, t AS track_no, CASE WHEN t = 1 THEN 'avc1' ELSE 'mp4a' END AS entry, CASE WHEN t = 1 THEN 1280 + s_suppkey % 3 END AS width, CASE WHEN t = 1 THEN 720 END AS height, CASE WHEN t = 2 THEN 2 END AS channels, CASE WHEN t = 2 THEN 44100 END AS sample_rate,
+    CASE WHEN t = 1 THEN '0164001FFFE1001A6764001FACD9405005BB011000000300100000030320F183196001000268EE' ELSE '1210' END AS config FROM supplier, (SELECT unnest([1, 2]) AS t)""")
+
+
+def _descriptions(suppliers):
+    """Suppliers as streams of H.264 and AAC: initialisation segments written and read again."""
+    from .functions import codecs
+    from .sources import fmp4
+
+    k = F.col("s_suppkey")
+    width, height = (1280 + k % 3).cast("int"), F.lit(720)
+    video = fmp4.video_entry("H264", width, height, codecs.avc_config(F.lit(SPS), F.lit(b"\x68\xee")))
+    audio = fmp4.audio_entry("AAC", F.lit(44_100), F.lit(2), F.lit(ASC))
+    files = suppliers.select(k.cast("string").alias("path"), fmp4.init_segment(video=video, audio=audio, audio_scale=44_100, width=width, height=height).alias("content"))
+    return fmp4.descriptions(fmp4.boxes(files)).withColumn("config", F.hex("config")).withColumns({c: F.col(c).cast("int") for c in ("track_no", "width", "height", "channels", "sample_rate")})
+
+
+@query("rtcp_round_trip", """SELECT s_suppkey AS stream_key, CASE s_suppkey % 3 WHEN 0 THEN 'SR' WHEN 1 THEN 'RR' ELSE 'BYE' END AS kind, s_suppkey AS ssrc, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 7 END AS packets, CASE WHEN s_suppkey % 3 < 2 AND s_suppkey % 2 = 0 THEN s_suppkey + 1 END AS about,
+    CASE WHEN s_suppkey % 3 < 2 AND s_suppkey % 2 = 0 THEN s_suppkey * 3 END AS jitter FROM supplier""")
+def _rtcp(spark, sf_dir):
+    k = F.col("s_suppkey")
+    none, even = F.lit(None).cast("bigint"), k % 2 == 0
+    rows = table(spark, sf_dir, "supplier").select(k.alias("stream_key"), F.when(k % 3 == 0, "SR").when(k % 3 == 1, "RR").otherwise("BYE").alias("kind"), k.alias("ssrc"), k.cast("decimal(20,0)").alias("ntp_time"), (k * 90).alias("rtp_time"), (k * 7).alias("packets"), (k * 100).alias("octets"),
+        F.when(even, k + 1).alias("about"), F.lit(3).alias("fraction_lost"), k.alias("lost"), k.alias("highest_seq"), (k * 3).alias("jitter"))
+    packets = rtp.build_rtcp(rows).withColumn("idx", F.lit(0))
+    reports = rtp.rtcp(packets).select("stream_key", "kind", "ssrc", "packets", F.when(F.col("block").isNotNull(), F.col("about")).alias("about"), F.when(F.col("block").isNotNull(), F.col("jitter")).alias("jitter"))
+    return reports.unionByName(rtp.goodbyes(packets).select("stream_key", F.lit("BYE").alias("kind"), "ssrc", none.alias("packets"), none.alias("about"), none.alias("jitter")))

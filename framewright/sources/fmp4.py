@@ -61,19 +61,96 @@ def frames(files: DataFrame) -> DataFrame:
     return whole.select("path", "at", "media", F.when((F.col("media") == "video") & key, "key").otherwise("inter").alias("frame_type"), ms(F.col("start")).alias("dts_ms"), ms(F.col("start") + F.col("cts")).alias("pts_ms"), "size", B.piece(F.col("content"), F.col("at").cast("int"), F.col("size").cast("int")).alias("payload"))
 
 
-def _box(kind: bytes, *parts: Column | bytes) -> Column:
-    body = F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)) if parts else F.lit(b"")
-    return F.concat(_bytes(F.octet_length(body) + 8, 4), F.lit(kind), body)
+def _joined(parts: tuple) -> Column | bytes:
+    """Parts on end; bytes where all are."""
+    if all(isinstance(p, bytes) for p in parts):
+        return b"".join(parts)
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def init_segment(video_scale: int = VIDEO_SCALE, audio_scale: int = 48_000) -> Column:
-    """ftyp and moov of a video track 1 and an audio track 2, without sample descriptions."""
-    def trak(number: int, handler: bytes, scale: int) -> Column:
-        tkhd = _box(b"tkhd", b"\0\0\0\7" + b"\0" * 8 + number.to_bytes(4, "big") + b"\0" * 68)
-        mdia = _box(b"mdia", _box(b"mdhd", b"\0" * 12 + scale.to_bytes(4, "big") + b"\0" * 8), _box(b"hdlr", b"\0" * 8 + handler + b"\0" * 13))
+def _once(value: Column, f) -> Column:
+    """f of a value that f names several times; as a lambda's variable it is written and made once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _box(kind: bytes, *parts: Column | bytes) -> Column | bytes:
+    body = _joined(parts)
+    if isinstance(body, bytes):
+        return (len(body) + 8).to_bytes(4, "big") + kind + body
+    return _once(body, lambda b: F.concat(_bytes(F.octet_length(b) + 8, 4), F.lit(kind), b))
+
+
+def _full(kind: bytes, flags: int, *parts: Column | bytes) -> Column | bytes:
+    return _box(kind, flags.to_bytes(4, "big"), *parts)
+
+
+# Sample entries and configuration boxes of the codecs; the identity matrix.
+VIDEO_ENTRIES = {"H264": (b"avc1", b"avcC"), "H265": (b"hev1", b"hvcC"), "AV1": (b"av01", b"av1C"), "VP8": (b"vp08", b"vpcC"), "VP9": (b"vp09", b"vpcC")}
+AUDIO_ENTRIES = {"AAC": b"mp4a", "MP3": b".mp3", "Opus": b"Opus"}
+MATRIX = b"".join(x.to_bytes(4, "big") for x in (0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000))
+BITRATE = 128_000
+
+
+def _descriptor(tag: int, *parts: Column | bytes) -> Column:
+    """An MPEG-4 descriptor with its length in four bytes of seven bits."""
+    seven = lambda x, shift: F.shiftright(F.octet_length(x), shift).bitwiseAND(F.lit(127))
+    body = _joined(parts)
+    return _once(body if isinstance(body, Column) else F.lit(body), lambda b: F.concat(F.lit(bytes([tag])), *(_bytes(seven(b, s) + 128, 1) for s in (21, 14, 7)), _bytes(seven(b, 0), 1), b))
+
+
+def esds(config: Column) -> Column:
+    """The box of an AAC decoder: its AudioSpecificConfig within stream, decoder and sync descriptors."""
+    decoder = _descriptor(4, b"\x40\x15\0\0\0", BITRATE.to_bytes(4, "big") * 2, _descriptor(5, config))
+    return _full(b"esds", 0, _descriptor(3, b"\0\1\0", decoder, _descriptor(6, b"\2")))
+
+
+def video_entry(codec: str, width: Column, height: Column, config: Column | None = None) -> Column:
+    """The sample description of a video track; without a configuration, its box is left out."""
+    kind, box = VIDEO_ENTRIES[codec]
+    head = [b"\0" * 6 + b"\0\1" + b"\0" * 16, _bytes(width, 2), _bytes(height, 2), b"\0\x48\0\0\0\x48\0\0" + b"\0" * 4 + b"\0\1" + b"\0" * 32 + b"\0\x18\xff\xff"]
+    return _box(kind, *head, *([_box(box, config)] if config is not None else []))
+
+
+def audio_entry(codec: str, rate: Column, channels: Column, config: Column | None = None) -> Column:
+    """The sample description of an audio track of 16 bits."""
+    head = [b"\0" * 6 + b"\0\1" + b"\0" * 8, _bytes(channels, 2), b"\0\x10" + b"\0" * 4, _bytes(rate, 2), b"\0\0"]
+    boxes_ = [] if config is None or codec == "MP3" else [esds(config) if codec == "AAC" else _box(b"dOps", config)]
+    return _box(AUDIO_ENTRIES[codec], *head, *boxes_)
+
+
+def init_segment(video_scale: int = VIDEO_SCALE, audio_scale: int = 48_000, video: Column | None = None, audio: Column | None = None, width: Column | None = None, height: Column | None = None) -> Column:
+    """ftyp and moov of a video track 1 and an audio track 2, with the sample descriptions given (`video_entry`, `audio_entry`)."""
+    def trak(number: int, handler: bytes, scale: int, entry: Column | None) -> Column:
+        sides = [_bytes(c, 2) if c is not None and number == 1 else b"\0\0" for c in (width, height)]
+        tkhd = _full(b"tkhd", 3, b"\0" * 8 + number.to_bytes(4, "big") + b"\0" * 20, b"\0\0" if number == 1 else b"\1\0", b"\0\0" + MATRIX, sides[0], b"\0\0", sides[1], b"\0\0")
+        media = _full(b"vmhd", 1, b"\0" * 8) if number == 1 else _full(b"smhd", 0, b"\0" * 4)
+        tables = [_full(k, 0, b"\0" * n) for k, n in ((b"stts", 4), (b"stsc", 4), (b"stsz", 8), (b"stco", 4))]
+        stsd = _full(b"stsd", 0, b"\0\0\0\1", entry) if entry is not None else _full(b"stsd", 0, b"\0\0\0\0")
+        dinf = _box(b"dinf", _full(b"dref", 0, b"\0\0\0\1", _full(b"url ", 1)))
+        minf = _box(b"minf", media, dinf, _box(b"stbl", stsd, *tables))
+        mdia = _box(b"mdia", _full(b"mdhd", 0, b"\0" * 8 + scale.to_bytes(4, "big") + b"\0" * 8), _full(b"hdlr", 0, b"\0" * 4 + handler + b"\0" * 13), minf)
         return _box(b"trak", tkhd, mdia)
 
-    return F.concat(_box(b"ftyp", b"iso5\0\0\0\1isom"), _box(b"moov", _box(b"mvhd", b"\0" * 100), trak(1, b"vide", video_scale), trak(2, b"soun", audio_scale)))
+    mvhd = _full(b"mvhd", 0, b"\0" * 8 + VIDEO_SCALE.to_bytes(4, "big") + b"\0" * 4 + b"\0\1\0\0\1\0" + b"\0" * 10 + MATRIX + b"\0" * 24 + b"\0\0\0\3")
+    trex = [_full(b"trex", 0, n.to_bytes(4, "big") + b"\0\0\0\1" + b"\0" * 12) for n in (1, 2)]
+    out = _joined((_box(b"ftyp", b"isom\0\0\2\0isomiso6mp41"), _box(b"moov", mvhd, trak(1, b"vide", video_scale, video), trak(2, b"soun", audio_scale, audio), _box(b"mvex", *trex))))
+    return F.lit(out) if isinstance(out, bytes) else out
+
+
+def descriptions(rows: DataFrame) -> DataFrame:
+    """path, track_no, entry, width, height, channels, sample_rate, config of the first sample description of each track of `boxes`.
+
+    config: an AVC or HEVC record, the AudioSpecificConfig of an esds box, or another configuration box's body.
+    """
+    b = F.col("body")
+    first = rows.where("trail = 'moov/trak/mdia/minf/stbl/stsd'").where(B.u32(b, 4) > 0).select("path", "track_no", B.piece(b, 12, 4).cast("string").alias("entry"), B.after(b, 16).alias("e"), (B.u32(b, 8) - 8).cast("int").alias("n"))
+    e, video = F.col("e"), F.col("entry").isin(*(k.decode() for k, _ in VIDEO_ENTRIES.values()))
+    at = F.when(video, 78).otherwise(28)
+    kind, body = B.piece(e, at + 4, 4).cast("string"), B.piece(e, at + 8, (B.u32(e, at) - 8).cast("int"))
+    # Behind version and flags: descriptors 3 (3 bytes), 4 (13 bytes) and 5, each with a tag and four bytes of length.
+    specific = B.piece(body, 4 + 5 + 3 + 5 + 13 + 5, B.u8(body, 4 + 5 + 3 + 5 + 13 + 4).cast("int"))
+    config = F.when(F.col("n") > at, F.when(kind == "esds", specific).otherwise(body))
+    return first.select("path", "track_no", "entry", F.when(video, B.u16(e, 24)).alias("width"), F.when(video, B.u16(e, 26)).alias("height"), F.when(~video, B.u16(e, 16)).alias("channels"), F.when(~video, B.u16(e, 24)).alias("sample_rate"), config.alias("config"))
 
 
 def sample_table(frames: DataFrame, video_scale: int = VIDEO_SCALE, audio_scale: int = 48_000) -> DataFrame:

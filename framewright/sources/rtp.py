@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import bits as B
+from ..functions import bits as B, codecs
+from ..model import CODECS
+
+PAYLOAD_TYPES = {c[1]: c[4] for c in CODECS}
+CLOCKS = {c[1]: c[3] for c in CODECS}
 
 
 def headers(packets: DataFrame) -> DataFrame:
@@ -57,12 +61,30 @@ def h265(rows: DataFrame) -> DataFrame:
     return out.select("stream_key", "au_id", "rtp_ts", F.when(F.col("key"), "key").otherwise("inter").alias("frame_type"), "payload")
 
 
+def has_sequence_header(data: Column) -> Column:
+    """Is one of the OBUs a sequence header? They are walked by their sizes (LEB128, of up to four bytes); one without a size is the last."""
+    def step(at: Column, _: Column) -> Column:
+        head = B.u8(data, at.cast("int"))
+        kind, sized = B.field(head, 3, 4), B.field(head, 1, 1) == 1
+        begin = (at + 1 + B.field(head, 2, 1)).cast("int")
+        size, length, more = F.lit(0).cast("bigint"), F.lit(0), F.lit(True)
+        for k in range(4):
+            x = F.coalesce(B.u8(data, begin + k), F.lit(0))
+            size, length = F.when(more, size + F.shiftleft(x.bitwiseAND(F.lit(127)), 7 * k)).otherwise(size), F.when(more, F.lit(k + 1)).otherwise(length)
+            more = more & (x >= 128)
+        return F.when((at < 0) | head.isNull(), at).when(kind == 1, F.lit(-1).cast("bigint")).when(sized, begin + length + size).otherwise(F.octet_length(data).cast("bigint"))
+
+    # An OBU has two bytes at least; the walk ends at -1 where a sequence header is.
+    units = F.sequence(F.lit(0), F.floor(F.octet_length(data) / 2).cast("int"))
+    return F.aggregate(units, F.lit(0).cast("bigint"), step) == -1
+
+
 def one_byte_descriptor(rows: DataFrame, codec: str) -> DataFrame:
     """VP8, VP9 and AV1 as written with one byte of descriptor: keys by the frame's first bit, the last descriptor, or a sequence header."""
     p = F.col("payload")
     au = _joined(access_units(rows), B.after(p, 1), B.field(B.u8(p, 0), 6, 1) == 0).where("complete")
     data = F.col("payload")
-    key = {"VP8": B.field(B.u8(data, 0), 0, 1) == 0, "VP9": F.col("key"), "AV1": B.field(B.u8(data, 0), 3, 4) == 1}[codec]
+    key = {"VP8": B.field(B.u8(data, 0), 0, 1) == 0, "VP9": F.col("key"), "AV1": has_sequence_header(data)}[codec]
     return au.select("stream_key", "au_id", "rtp_ts", F.when(key, "key").otherwise("inter").alias("frame_type"), "payload")
 
 
@@ -71,14 +93,68 @@ def one_packet(rows: DataFrame, skip: int = 0) -> DataFrame:
     return rows.select("stream_key", F.col("idx").alias("au_id"), "rtp_ts", F.lit("inter").alias("frame_type"), B.after(F.col("payload"), skip).alias("payload"))
 
 
+def _stamped(rows: DataFrame, order: tuple[str, ...], payload_type: int, clock: int, ssrc: int) -> DataFrame:
+    """RTP packets (stream_key, idx, data) of rows (stream_key, dts_ms, marker, body), numbered by order."""
+    idx = F.row_number().over(Window.partitionBy("stream_key").orderBy(*order)) - 1
+    hexed = lambda c, size: F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
+    ticks = F.pmod(F.expr(f"dts_ms * {clock} div 1000"), F.lit(1 << 32))
+    head = F.concat(F.lit(b"\x80"), hexed(F.when(F.col("marker"), 128 + payload_type).otherwise(payload_type), 1), hexed(F.pmod(F.col("idx"), F.lit(65536)), 2), hexed(ticks, 4), F.lit(ssrc.to_bytes(4, "big")))
+    return rows.withColumn("idx", idx.cast("bigint")).select("stream_key", "idx", F.concat(head, "body").alias("data"))
+
+
 def packetize(frames: DataFrame, mtu: int = 1200, clock: int = 90_000, ssrc: int = 1) -> DataFrame:
     """RTP packets (stream_key, idx, data) of video frames with a one-byte descriptor: mtu - 1 bytes each, the last marked."""
     n = F.greatest(F.ceil(F.octet_length("payload") / (mtu - 1)), F.lit(1)).cast("int")
     rows = frames.select("stream_key", "seq", "dts_ms", "payload", n.alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    idx = F.row_number().over(Window.partitionBy("stream_key").orderBy("seq", "i")) - 1
-    hexed = lambda c, size: F.unhex(F.lpad(F.hex(c), 2 * size, "0"))
-    head = F.concat(F.lit(b"\x80"), hexed(F.when(F.col("i") == F.col("n") - 1, 128 + 96).otherwise(96), 1), hexed(F.pmod(F.col("idx"), F.lit(65536)), 2), hexed(F.pmod(F.expr(f"dts_ms * {clock} div 1000"), F.lit(1 << 32)), 4), F.lit(ssrc.to_bytes(4, "big")))
-    return rows.withColumn("idx", idx.cast("bigint")).select("stream_key", "idx", F.concat(head, F.when(F.col("i") == 0, F.lit(b"\x10")).otherwise(F.lit(b"\x00")), B.piece(F.col("payload"), F.col("i") * (mtu - 1), mtu - 1)).alias("data"))
+    body = F.concat(F.when(F.col("i") == 0, F.lit(b"\x10")).otherwise(F.lit(b"\x00")), B.piece(F.col("payload"), F.col("i") * (mtu - 1), mtu - 1))
+    return _stamped(rows.select("stream_key", "seq", "i", "dts_ms", (F.col("i") == F.col("n") - 1).alias("marker"), body.alias("body")), ("seq", "i"), 96, clock, ssrc)
+
+
+def packetize_nals(frames: DataFrame, codec: str, mtu: int = 1200, ssrc: int = 1) -> DataFrame:
+    """RTP packets of H264 or H265 frames whose payload is Annex-B: a NAL unit of up to mtu bytes is a packet, longer ones are cut to FU-A or FU fragments; a frame's last packet is marked.
+
+    Frames without a NAL unit give no packets.
+    """
+    head = {"H264": 1, "H265": 2}[codec]  # bytes of a NAL unit's header; a fragment has one more
+    chunk = mtu - head - 1
+    nal, size = F.col("nal"), F.octet_length("nal")
+    count = F.when(size <= mtu, 1).otherwise(F.ceil((size - head) / chunk)).cast("int")
+    nals = codecs.nal_units(F.col("payload"))
+    rows = frames.select("stream_key", "seq", "dts_ms", nals.alias("nals")).select("stream_key", "seq", "dts_ms", F.size("nals").alias("units"), F.posexplode("nals").alias("n", "nal")).where(size >= head)
+    rows = rows.withColumn("parts", count).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    first, last = F.col("i") == 0, F.col("i") == F.col("parts") - 1
+    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    ends = F.when(first, 0x80).otherwise(0) + F.when(last, 0x40).otherwise(0)
+    a = B.u8(nal, 0)
+    if codec == "H264":
+        fragment = F.concat(byte(a.bitwiseAND(F.lit(0xE0)) + 28), byte(ends + a.bitwiseAND(F.lit(31))))
+    else:
+        fragment = F.concat(byte(a.bitwiseAND(F.lit(0x81)) + (49 << 1)), B.piece(nal, 1, 1), byte(ends + B.field(a, 1, 6)))
+    body = F.when(F.col("parts") == 1, nal).otherwise(F.concat(fragment, B.piece(nal, F.col("i") * chunk + head, chunk)))
+    rows = rows.select("stream_key", "seq", "n", "i", "dts_ms", (last & (F.col("n") == F.col("units") - 1)).alias("marker"), body.alias("body"))
+    return _stamped(rows, ("seq", "n", "i"), PAYLOAD_TYPES[codec], 90_000, ssrc)
+
+
+def packetize_audio(frames: DataFrame, codec: str, ssrc: int = 2) -> DataFrame:
+    """RTP packets of audio frames, one each, all marked: AAC behind one AU header, MP3 behind four void bytes, all other audio as it is."""
+    size = F.unhex(F.right(F.concat(F.lit("0000"), F.hex(F.octet_length("payload") * 8)), F.lit(4)))
+    head = {"AAC": F.concat(F.lit(b"\x00\x10"), size), "MP3": F.lit(b"\0\0\0\0")}.get(codec, F.lit(b""))
+    rows = frames.select("stream_key", "seq", "dts_ms", F.lit(True).alias("marker"), F.concat(head, "payload").alias("body"))
+    return _stamped(rows, ("seq",), PAYLOAD_TYPES[codec], CLOCKS[codec], ssrc)
+
+
+def packetized(frames: DataFrame, codec: str, mtu: int = 1200) -> DataFrame:
+    """RTP packets of frames of one codec."""
+    if codec in ("H264", "H265"):
+        return packetize_nals(frames, codec, mtu)
+    return packetize(frames, mtu) if codec in ("VP8", "VP9", "AV1") else packetize_audio(frames, codec)
+
+
+def depacketized(rows: DataFrame, codec: str) -> DataFrame:
+    """Frames of RTP headers (`headers`) of one codec."""
+    if codec in ("H264", "H265"):
+        return (h264 if codec == "H264" else h265)(rows)
+    return one_byte_descriptor(rows, codec) if codec in ("VP8", "VP9", "AV1") else one_packet(rows, 4 if codec in ("AAC", "MP3") else 0)
 
 
 def rtcp(packets: DataFrame) -> DataFrame:
@@ -92,3 +168,28 @@ def rtcp(packets: DataFrame) -> DataFrame:
     only = lambda c: F.when(sender, c)
     ntp = F.conv(F.hex(B.piece(d, 8, 8)), 16, 10).cast("decimal(20,0)")
     return base.select("stream_key", "idx", F.when(sender, "SR").otherwise("RR").alias("kind"), B.u32(d, 4).alias("ssrc"), only(ntp).alias("ntp_time"), only(B.u32(d, 16)).alias("rtp_time"), only(B.u32(d, 20)).alias("packets"), only(B.u32(d, 24)).alias("octets"), "block", B.u32(d, at).alias("about"), B.u8(d, at + 4).alias("fraction_lost"), B.u24(d, at + 5).alias("lost"), B.u32(d, at + 8).alias("highest_seq"), B.u32(d, at + 12).alias("jitter"))
+
+
+def build_rtcp(reports: DataFrame) -> DataFrame:
+    """(stream_key, data): RTCP of rows (stream_key, kind, ssrc, ntp_time, rtp_time, packets, octets, about, fraction_lost, lost, highest_seq, jitter).
+
+    SR and RR hold a report block where `about` is not null; BYE holds the ssrc alone.
+    """
+    u = lambda c, size: F.unhex(F.right(F.concat(F.lit("0" * 2 * size), F.hex(c)), F.lit(2 * size)))
+    long = lambda c: u(F.coalesce(F.col(c), F.lit(0)).cast("bigint"), 4)
+    one = F.col("about").isNotNull()
+    block = F.concat(long("about"), u(F.coalesce("fraction_lost", F.lit(0)), 1), u(F.coalesce("lost", F.lit(0)), 3), long("highest_seq"), long("jitter"), F.lit(b"\0" * 8))
+    ntp = F.unhex(F.lpad(F.conv(F.col("ntp_time").cast("string"), 10, 16), 16, "0"))
+    sender = F.concat(ntp, long("rtp_time"), long("packets"), long("octets"))
+    kind = F.col("kind")
+    body = F.concat(long("ssrc"), F.when(kind == "SR", sender).otherwise(F.lit(b"")), F.when(one & (kind != "BYE"), block).otherwise(F.lit(b"")))
+    number = F.when(kind == "SR", 200).when(kind == "RR", 201).otherwise(203)
+    count = F.when(kind == "BYE", 1).otherwise(one.cast("int"))
+    return reports.select("stream_key", F.concat(u(128 + count, 1), u(number, 1), u((F.octet_length(body) / 4).cast("int"), 2), body).alias("data"))
+
+
+def goodbyes(packets: DataFrame) -> DataFrame:
+    """stream_key, ssrc of BYE packets, one row a source."""
+    d = F.col("data")
+    bye = packets.where((B.u8(d, 1) == 203) & (B.field(B.u8(d, 0), 0, 5) > 0))
+    return bye.select("stream_key", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), B.field(B.u8(d, 0), 0, 5) - 1)).alias("i")).select("stream_key", B.u32(d, (4 + 4 * F.col("i")).cast("int")).alias("ssrc"))
