@@ -130,6 +130,19 @@ def codec_string(profile_hex: Column) -> Column:
     return F.concat(F.lit("avc1."), F.lower(profile_hex))
 
 
+def video_codec_string(codec: Column, config: Column) -> Column:
+    """The codecs attribute of a video track: H.264 by its decoder configuration record, where there is one; defaults of level 4.0 else."""
+    by_record = F.concat(F.lit("avc1."), F.lower(F.hex(F.substring(config, 2, 3))))
+    return F.when((codec == "H264") & (F.octet_length(config) >= 4), by_record).when(codec == "H265", "hvc1.1.6.L120.B0").otherwise("avc1.640028")
+
+
+def audio_codec_string(codec: Column, config: Column) -> Column:
+    """The codecs attribute of an audio track: AAC by the object type of its AudioSpecificConfig, LC without one."""
+    kind = F.shiftright(F.conv(F.hex(F.substring(config, 1, 1)), 16, 10).cast("int"), 3)
+    aac = F.concat(F.lit("mp4a.40."), F.when(F.octet_length(config) >= 2, kind).otherwise(2).cast("string"))
+    return F.when(codec == "AAC", aac).when(codec == "Opus", "opus").when(codec == "MP3", "mp4a.40.34").otherwise("mp4a.40.2")
+
+
 def rtp_clock(dts_ms: Column, rate: int) -> Column:
     ticks = dts_ms.cast("bigint") * rate
     return F.pmod((ticks - F.pmod(ticks, F.lit(1000))).cast("decimal(20,0)") / 1000, F.lit(1 << 32)).cast("bigint")

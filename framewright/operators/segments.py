@@ -149,3 +149,8 @@ class Rotation(Machine):
 def recording_files(frames: DataFrame, age_ms: int, most_bytes: int) -> DataFrame:
     """Files of each stream: closed after the frame that makes them old or large enough."""
     return fold(frames, ["stream_key"], ["seq"], ["dts_ms", "size"], lambda: Rotation(age_ms, most_bytes), "file bigint, start_ms bigint, end_ms bigint, frames bigint, bytes bigint")
+
+
+def full_segments(parts: DataFrame) -> DataFrame:
+    """stream_key, segment, parts, payload: the parts' payloads (stream_key, segment, part, payload) on end."""
+    return parts.groupBy("stream_key", "segment").agg(F.count("*").alias("parts"), F.expr("listagg(payload) WITHIN GROUP (ORDER BY part)").alias("payload"))

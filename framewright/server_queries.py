@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .operators import catalog, segments, server
 from .plans.frames import FRAMES_SQL, frames, table
-from .queries import DAY, HLS, ROUND, _with_payload, on_frames, on_tables, query
+from .functions import scalars as S
+from .queries import DAY, HLS, PART, PARTS, ROUND, SEGMENT, _with_payload, on_frames, on_tables, query
 from .sources import rtp
 
 TIMEOUT = DAY // 2
@@ -173,3 +174,50 @@ def _rtcp(spark, sf_dir):
     packets = rtp.build_rtcp(rows).withColumn("idx", F.lit(0))
     reports = rtp.rtcp(packets).select("stream_key", "kind", "ssrc", "packets", F.when(F.col("block").isNotNull(), F.col("about")).alias("about"), F.when(F.col("block").isNotNull(), F.col("jitter")).alias("jitter"))
     return reports.unionByName(rtp.goodbyes(packets).select("stream_key", F.lit("BYE").alias("kind"), "ssrc", none.alias("packets"), none.alias("about"), none.alias("jitter")))
+
+
+on_frames("llhls_full_segments", lambda f: server_segments(f), PARTS + " SELECT stream_key, segment, count(*) AS parts, string_agg(repeat(chr((97 + part % 26)::INT), (bytes % 50)::INT), '' ORDER BY part) AS payload FROM parts GROUP BY stream_key, segment")
+
+
+def server_segments(f):
+    parts = segments.llhls_parts(f, PART, SEGMENT)
+    filled = F.repeat(F.char((97 + F.col("part") % 26).cast("bigint")), (F.col("bytes") % 50).cast("int")).cast("binary")
+    return segments.full_segments(parts.select("stream_key", "segment", "part", filled.alias("payload"))).withColumn("payload", F.col("payload").cast("string"))
+
+
+on_frames("next_blocking_requests", lambda f: _blocking(f), PARTS + """, pl AS (SELECT n_nationkey * 1000 + i AS player, i AS stream_key, n_nationkey % 30 AS lm, n_nationkey % 4 AS lp FROM nation, (SELECT unnest(range(0, 40)) AS i)
+), nw AS (SELECT stream_key, max(segment) AS m FROM parts GROUP BY 1), np AS (SELECT stream_key, m, max(part) AS p FROM parts JOIN nw USING (stream_key) WHERE segment = m GROUP BY ALL)
+SELECT player, CASE WHEN m IS NULL THEN lm + 1 WHEN lm < m OR lm = m AND lp < p THEN lm ELSE m END::BIGINT AS msn, CASE WHEN m IS NULL THEN 0 WHEN lm < m OR lm = m AND lp < p THEN lp + 1 ELSE p + 1 END::BIGINT AS part FROM pl LEFT JOIN np USING (stream_key)""")
+
+
+def _blocking(f):
+    """Players of forty streams, each at another place."""
+    from .sources import texts
+
+    parts = segments.llhls_parts(f, PART, SEGMENT).select(F.col("stream_key").cast("string").alias("path"), F.col("segment").alias("msn"), "part")
+    k = F.col("k")
+    players = f.sparkSession.range(25).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("i")).select((k * 1000 + F.col("i")).alias("player"), F.col("i").cast("string").alias("path"), (k % 30).alias("last_msn"), (k % 4).alias("last_part"))
+    return texts.next_request_of(parts, players)
+
+
+@query("sdp_round_trip", """SELECT s_suppkey::VARCHAR AS path, t AS m, CASE WHEN t = 1 THEN 'video' ELSE 'audio' END AS media, CASE WHEN t = 1 THEN 96 ELSE 101 + (s_suppkey % 20)::INT END AS payload_type, CASE WHEN t = 1 THEN 'H264' ELSE 'OPUS' END AS codec,
+    CASE WHEN t = 1 THEN 90000 ELSE 48000 END AS clock_rate, CASE WHEN t = 2 THEN (1 + s_suppkey % 2)::INT END AS channels, CASE WHEN t = 1 THEN 'packetization-mode=1' ELSE '' END AS fmtp, t - 1 AS track FROM supplier, (SELECT unnest([1, 2]) AS t)""")
+def _sdp(spark, sf_dir):
+    from .sources import texts
+
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("m"), (1 + k % 2).cast("int").alias("n"), (101 + k % 20).cast("int").alias("pt"))
+    video = F.col("m") == 1
+    tracks_ = rows.select("path", "m", F.when(video, "video").otherwise("audio").alias("media"), F.when(video, 96).otherwise(F.col("pt")).alias("payload_type"), F.when(video, "H264").otherwise("opus").alias("codec"), F.when(video, 90_000).otherwise(48_000).alias("clock_rate"), F.when(~video, F.col("n")).alias("channels"), F.when(video, "packetization-mode=1").alias("fmtp"))
+    back = texts.sdp(texts.build_sdp(tracks_))
+    return back.select("path", F.col("m").cast("int").alias("m"), "media", "payload_type", "codec", "clock_rate", "channels", F.coalesce("fmtp", F.lit("")).alias("fmtp"), texts.track_id(F.col("control")).alias("track"))
+
+
+@query("codec_strings", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'avc1.64001f' WHEN 2 THEN 'hvc1.1.6.L120.B0' ELSE 'avc1.640028' END AS video, CASE s_suppkey % 5 WHEN 0 THEN 'mp4a.40.2' WHEN 1 THEN 'mp4a.40.5' WHEN 2 THEN 'opus' WHEN 3 THEN 'mp4a.40.34' ELSE 'mp4a.40.2' END AS audio FROM supplier""")
+def _codec_strings(spark, sf_dir):
+    """With a record, without one, H265 and AV1; AAC-LC, HE-AAC, Opus, MP3, and AAC without a configuration."""
+    k = F.col("s_suppkey")
+    of = lambda n, xs: F.get(F.array(*(F.lit(x) for x in xs)), (k % n).cast("int"))
+    record = F.when(k % 4 == 0, F.lit(b"\x01\x64\x00\x1f\xff")).otherwise(F.lit(b""))
+    config = F.when(k % 5 == 0, F.lit(ASC)).when(k % 5 == 1, F.lit(b"\x2b\x92")).otherwise(F.lit(b""))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", S.video_codec_string(of(4, ("H264", "H264", "H265", "AV1")), record).alias("video"), S.audio_codec_string(of(5, ("AAC", "AAC", "Opus", "MP3", "AAC")), config).alias("audio"))

@@ -41,6 +41,19 @@ def next_blocking_request(parts: DataFrame) -> DataFrame:
     return parts.groupBy("path").agg(F.max(F.struct("msn", "part")).alias("m")).select("path", F.col("m.msn").alias("msn"), (F.col("m.part") + 1).alias("part"))
 
 
+def next_request_of(parts: DataFrame, players: DataFrame) -> DataFrame:
+    """player, msn, part that each player (player, path, last_msn, last_part) asks for next.
+
+    A player that has not had all parts asks for the one after its last; one that has,
+    for the one after the newest; where there are no parts, for the next segment's first.
+    """
+    newest = parts.groupBy("path").agg(F.max(F.struct("msn", "part")).alias("m"))
+    rows = players.join(newest, "path", "left")
+    last = F.struct(F.col("last_msn").alias("msn"), F.col("last_part").alias("part"))
+    none, behind = F.col("m").isNull(), last < F.col("m")
+    return rows.select("player", F.when(none, F.col("last_msn") + 1).when(behind, F.col("last_msn")).otherwise(F.col("m.msn")).alias("msn"), F.when(none, F.lit(0)).when(behind, F.col("last_part") + 1).otherwise(F.col("m.part") + 1).cast("bigint").alias("part"))
+
+
 def iso_seconds(text: Column) -> Column:
     """Seconds of PT1H2M3.5S; null for anything else."""
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"([0-9.]+){unit}", 1), F.lit("")).cast("double"), F.lit(0.0))
@@ -75,6 +88,18 @@ def sdp(files: DataFrame) -> DataFrame:
     return media.select("path", "m", F.get(w, 0).alias("media"), F.get(w, 1).cast("int").alias("port"), pt.cast("int").alias("payload_type"), F.upper(F.coalesce(F.get(spec, 0), static)).alias("codec"), F.get(spec, 1).cast("int").alias("clock_rate"), F.when(F.get(w, 0) == "audio", F.coalesce(F.get(spec, 2).cast("int"), F.lit(1))).alias("channels"), F.regexp_replace(find("fmtp"), r"^a=fmtp:\d+ ", "").alias("fmtp"), "control")
 
 
+def build_sdp(tracks: DataFrame, name: str = "stream") -> DataFrame:
+    """(path, content): a description of the tracks (path, m, media, payload_type, codec, clock_rate, channels, fmtp), in the order of m.
+
+    Audio of more than one channel names their number; an empty or null fmtp is left out; tracks are controlled by their place.
+    """
+    pt = F.col("payload_type").cast("string")
+    spec = F.concat_ws("/", "codec", F.col("clock_rate").cast("string"), F.when(F.col("channels") > 1, F.col("channels").cast("string")))
+    lines = F.concat_ws("\r\n", F.concat(F.lit("m="), "media", F.lit(" 0 RTP/AVP "), pt), F.concat(F.lit("a=rtpmap:"), pt, F.lit(" "), spec), F.when(F.coalesce("fmtp", F.lit("")) != "", F.concat(F.lit("a=fmtp:"), pt, F.lit(" "), "fmtp")), F.concat(F.lit("a=control:trackID="), (F.col("m") - 1).cast("string")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("m", lines.alias("lines")))), lambda x: x["lines"])
+    return tracks.groupBy("path").agg(F.concat(F.lit(f"v=0\r\no=- 0 0 IN IP4 0.0.0.0\r\ns={name}\r\nc=IN IP4 0.0.0.0\r\nt=0 0\r\n"), F.array_join(body, "\r\n"), F.lit("\r\n")).alias("content"))
+
+
 def track_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"trackID=(\d+)", 1), F.lit("")).cast("int")
 
