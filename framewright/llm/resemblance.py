@@ -45,10 +45,8 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        for i, m in enumerate(_MULTIPLIERS):
-            least[i] = min(least[i], (part * m).min())
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[None, at : at + 1024] * _MULTIPLIERS[:, None]).min(1), out=least)
     return least ^ least >> np.uint64(29)
 
 

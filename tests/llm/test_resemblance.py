@@ -67,3 +67,16 @@ def test_rows_that_share_an_id(spark):
     """Each component keeps one document, also where texts of two components have one id."""
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     assert sorted(r.text for r in run(spark, [(1, a), (1, b), (2, a), (1, a)])) == [a, b]
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Nothing is passed over where buckets are larger than a task pairs by itself."""
+    for name, value in (("CAP", 3), ("BLOCK", 8), ("PROBES", 2)):
+        monkeypatch.setattr(resemblance, name, value)
+    rng, rows = random.Random(4), []
+    shared = [f"s{rng.randrange(3000)}" for _ in range(120)]
+    for _ in range(12):  # families that share a passage and are no copies of each other, with copies within each
+        words = shared + [f"w{rng.randrange(3000)}" for _ in range(60)]
+        rows += [" ".join(words)] + [edited(rng, words, n) for n in (1, 2, 3, 6)]
+    rows = list(enumerate(rows))
+    assert sorted(r.doc_id for r in run(spark, rows)) == brute_kept(rows)
