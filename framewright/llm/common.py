@@ -38,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet in the shared folder and read back. The files go when the driver ends."""
+    """The same rows, written as Parquet in the shared folder and read back. The files go with `clear`, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -46,8 +46,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Delete what `written` has left so far, once no result that reads it is needed; else it goes when the driver ends."""
+    while _written:
+        spark, path = _written.pop()
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -55,7 +57,7 @@ def _clean() -> None:
             return
 
 
-atexit.register(_clean)
+atexit.register(clear)
 
 
 #: Rows of a table that are broadcast for the keys that more than one in HOT rows has: there are fewer such keys than HOT.
