@@ -21,16 +21,24 @@ def label_sample(rows: DataFrame, label: str, per_label: int, max_bytes: int | N
     """
     h = F.xxhash64("doc_id")
     usable = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col(label).alias("label"), "text")
-    least = F.min(F.struct(h.alias("h"), F.octet_length("text").alias("bytes")))
-    chosen = sorted(usable.groupBy("label", F.pmod(h, F.lit(per_label)).alias("bin")).agg(least.alias("least")).select("label", "least.*").collect(), key=lambda r: (str(r.label), r.h))
+    spark = rows.sparkSession
+    # The texts stay out of the first step, and the others look up hashes alone, so that no text moves to meet its label.
+    found = usable.groupBy("label", F.pmod(h, F.lit(per_label)).alias("bin")).agg(F.min(h).alias("h")).select("label", "h").collect()
+    drawn = lambda keys: usable.join(F.broadcast(spark.createDataFrame(sorted({(r.h,) for r in keys}), "h long")), h == F.col("h"), "left_semi").withColumn("h", h)
+    if not found:
+        return []
+    size = F.octet_length("text")
+    sizes = {(r.label, r.h): r.bytes for r in drawn(found).groupBy("label", "h").agg(F.min(size).alias("bytes")).collect()}
+    chosen = sorted((r for r in found), key=lambda r: (str(r.label), r.h))
     left = {r.label: math.inf if max_bytes is None else max_bytes // len({c.label for c in chosen}) for r in chosen}
     wanted = []
     for r in chosen:
-        if r.bytes <= left[r.label]:
-            left[r.label] -= r.bytes
-            wanted.append((r.label, r.h))
+        if sizes[r.label, r.h] <= left[r.label]:
+            left[r.label] -= sizes[r.label, r.h]
+            wanted.append(r)
     if not wanted:
         return []
-    keys = F.broadcast(rows.sparkSession.createDataFrame(wanted, usable.select("label", h.alias("h")).schema))
-    drawn = usable.withColumn("h", h).join(keys, ["label", "h"], "left_semi")
-    return drawn.groupBy("label", "doc_id").agg(F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text")).orderBy(h, "label").collect()
+    pairs = {(r.label, r.h) for r in wanted}
+    shortest = F.min_by("text", F.struct(size, "text")).alias("text")
+    texts = drawn(wanted).groupBy("label", "doc_id", "h").agg(shortest).orderBy("h", "label").collect()
+    return [r for r in texts if (r.label, r.h) in pairs]
