@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Tokens of a stretch when scoring and when counting; results don't depend on either.
-STRETCH, COUNTED = 256, 1024
+STRETCH, COUNTED = 256, 256
 #: Tokens worked on together.
-TOKENS = 262_144
+TOKENS = 1_048_576
 #: Steps after which products of matrices are scaled.
 SCALED = 8
 
